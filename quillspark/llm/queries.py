@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, sql
+from quillspark.llm import canonical, leakage, sql
 from quillspark.session import table
 
 
@@ -29,5 +29,19 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical(snippets(spark, sf_dir), "text", "canonical", rid).select("tbl", "record_id", "canonical")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_canonical": p4_canonical}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold_items"), "doc_id", "text", "item_id", "text").where("run >= 70")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 70 consecutive letters or digits of an item."""
+    return _leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each item that leaked: in how many documents, and the longest leaked run."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("run").alias("longest_run"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_report": p6_report}
 SQL = sql.SQL
