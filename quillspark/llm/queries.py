@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, leakage, sql
+from quillspark.llm import canonical, leakage, mojibake, sql
 from quillspark.session import table
 
 
@@ -29,6 +29,22 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical(snippets(spark, sf_dir), "text", "canonical", rid).select("tbl", "record_id", "canonical")
 
 
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    census = table(spark, sf_dir, "law_census").selectExpr("'law_census' AS tbl", "row_id", "title")
+    docs = table(spark, sf_dir, "documents").selectExpr("'documents' AS tbl", "doc_id AS row_id", "title")
+    return mojibake.damaged_texts(census.unionByName(docs), "title", ["tbl", "row_id"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose title shows wrong decoding."""
+    return _damaged(spark, sf_dir).select("tbl", "row_id")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged titles with what could be restored."""
+    return _damaged(spark, sf_dir)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold_items"), "doc_id", "text", "item_id", "text").where("run >= 70")
 
@@ -43,5 +59,5 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("run").alias("longest_run"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report}
 SQL = sql.SQL
