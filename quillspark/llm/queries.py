@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, leakage, mojibake, sql
+from quillspark.llm import canonical, leakage, mojibake, residue, sql
 from quillspark.session import table
 
 
@@ -59,5 +59,16 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("run").alias("longest_run"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with template fields, filler, error messages or script notices."""
+    return residue.residue_documents(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that make documents residue, with their probability."""
+    scored = residue.residue_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return scored.where(F.col("probability") >= residue.DECISION)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_passages": p8_passages}
 SQL = sql.SQL
