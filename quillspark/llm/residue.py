@@ -287,7 +287,7 @@ def residue_passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
             lists = [found[order[ends[i - 1] if i else 0 : ends[i]]].astype(np.int32) for i in keep]
             ids = batch["d"].to_numpy()[np.array(rows, np.int64)[keep]]
-            yield pd.DataFrame({"doc_id": ids, "passage": [parts[i] for i in keep], "trusted": mark[keep], "bins": lists})
+            yield pd.DataFrame({"doc_id": ids, "passage": [parts[i] for i in keep], "trusted": mark[keep], "bins": pd.Series(lists, dtype=object)})
 
     left = cut(src.mapInPandas(screen, f"doc_id {kind}, passage string, trusted boolean, bins array<int>"), "passages")
 
