@@ -252,7 +252,8 @@ def damaged_texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             done = [repair(t) for t in b["damaged"]]
-            b = b.assign(restored=[d[1] for d in done], complete=[d[2] for d in done])
+            b = b.astype({c: object for c in b.columns if b[c].dtype.kind not in "iufbM"})
+            b = b.assign(restored=pd.Series([d[1] for d in done], dtype=object, index=b.index), complete=[d[2] for d in done])
             yield b[[d[0] for d in done]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)

@@ -285,9 +285,9 @@ def residue_passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             keep = np.array([i for i in likely if mark[i] or not _PRINTED.search(parts[i])], np.int64)
             order = np.argsort(owner, kind="stable")
             ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
-            lists = [found[order[ends[i - 1] if i else 0 : ends[i]]].astype(np.int32) for i in keep]
+            lists = [found[order[ends[i - 1] if i else 0 : ends[i]]].tolist() for i in keep]
             ids = batch["d"].to_numpy()[np.array(rows, np.int64)[keep]]
-            yield pd.DataFrame({"doc_id": ids, "passage": [parts[i] for i in keep], "trusted": mark[keep], "bins": pd.Series(lists, dtype=object)})
+            yield pd.DataFrame({"doc_id": ids, "passage": pd.Series([parts[i] for i in keep], dtype=object), "trusted": mark[keep], "bins": pd.Series(lists, dtype=object)})
 
     left = cut(src.mapInPandas(screen, f"doc_id {kind}, passage string, trusted boolean, bins array<int>"), "passages")
 
@@ -315,7 +315,7 @@ def residue_passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             s = np.array([last.value.score(b) for b in batch["bins"]], dtype=float)
-            yield batch[["doc_id", "passage", "trusted"]].assign(probability=_posterior(s))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "passage": batch["passage"].astype(object), "trusted": batch["trusted"], "probability": _posterior(s)})
 
     return left.mapInPandas(decide, f"doc_id {kind}, passage string, trusted boolean, probability double")
 
