@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, leakage, mojibake, residue, sql
+from quillspark.llm import canonical, leakage, linkage, mojibake, residue, sql
 from quillspark.session import table
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = linkage.featured(table(spark, sf_dir, "records_la"), "record_id", "law_name", "law_number_ref", "source_url", notes="notes")
+    entries = linkage.featured(table(spark, sf_dir, "baseline_la"), "baseline_id", "law_name", "law_number_ref", "source_url", date="law_date")
+    return linkage.link(records, entries)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and baseline entries of the same instrument."""
+    return _linked(spark, sf_dir).selectExpr("entry_id AS baseline_id", "record_id")
+
+
+def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their confidence."""
+    return _linked(spark, sf_dir).selectExpr("entry_id AS baseline_id", "record_id", "confidence")
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All snippets of records_la and records_cn: tbl, record_id, text."""
     la = table(spark, sf_dir, "records_la").selectExpr("'records_la' AS tbl", "record_id", "verbatim_snippet AS text")
@@ -70,5 +86,5 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("probability") >= residue.DECISION)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_passages": p8_passages}
 SQL = sql.SQL
