@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, leakage, linkage, mojibake, residue, sql
+from quillspark.llm import canonical, leakage, linkage, mixing, mojibake, residue, sql
 from quillspark.session import table
 
 
@@ -75,6 +75,20 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("run").alias("longest_run"))
 
 
+#: The public vocabulary that sizes are counted in; set another path here or pass it to ``mixing.mix``.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training mix, a row per slot."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), VOCABULARY)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target share and share reached of each source."""
+    return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with template fields, filler, error messages or script notices."""
     return residue.residue_documents(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
@@ -86,5 +100,5 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("probability") >= residue.DECISION)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 SQL = sql.SQL
