@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, leakage, linkage, mixing, mojibake, residue, sql
+from quillspark.llm import canonical, language, leakage, linkage, mixing, mojibake, residue, sql
 from quillspark.session import table
 
 
@@ -27,6 +27,32 @@ def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked(spark, sf_dir).selectExpr("entry_id AS baseline_id", "record_id", "confidence")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, language.Model]:
+    la = table(spark, sf_dir, "records_la").selectExpr("'records_la' AS tbl", "record_id AS row_id", "verbatim_snippet AS text", "language_of_source AS label")
+    tl = table(spark, sf_dir, "gloss_tl").selectExpr("'gloss_tl' AS tbl", "gloss_id AS row_id", "original AS text", "language_of_source AS label")
+    both = la.unionByName(tl)
+    known = language.labelled_sample(both, "text", "label")
+    return both, language.fit([t for t, _ in known], [c for _, c in known])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the texts whose label doesn't state them."""
+    both, model = _labelled(spark, sf_dir)
+    return language.mislabelled(language.languages(both, ["tbl", "row_id"], "text", "label", model), ["tbl", "row_id"])
+
+
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every text, its main language and a confidence."""
+    both, model = _labelled(spark, sf_dir)
+    return language.languages(both, ["tbl", "row_id"], "text", "label", model)
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of text in one language, with a confidence."""
+    both, model = _labelled(spark, sf_dir)
+    return language.segments(both, ["tbl", "row_id"], "text", model)
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All snippets of records_la and records_cn: tbl, record_id, text."""
     la = table(spark, sf_dir, "records_la").selectExpr("'records_la' AS tbl", "record_id", "verbatim_snippet AS text")
@@ -100,5 +126,5 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("probability") >= residue.DECISION)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_documents": p2_documents, "p2_segments": p2_segments, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 SQL = sql.SQL
