@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,10 @@ BODIES = {"ສພຊ": "NA", "ລບ": "GOV", "ກຕສ": "MTC", "ທຫລ": "
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Letters that reading software takes for each other in Lao.
 MISREAD = str.maketrans({"ຄ": "ດ"})
+#: Kinds of instruments, English and Lao.
+KINDS = (("law", "ກົດໝາຍ"), ("decree", "ດຳລັດ"), ("decision", "ຂໍ້ຕົກລົງ"), ("regulation", "ລະບຽບການ"), ("instruction", "ຄຳແນະນຳ"))
 #: Pairs from this posterior on are matches.
-ACCEPT = 0.5
+ACCEPT = 0.75
 
 _REF = re.compile(r"(\d{1,5})\s*/\s*([A-Z]{2,6}|[ກ-ໟ]{1,5})")
 _YEAR = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
@@ -43,7 +45,9 @@ _NOTE_TITLE = re.compile(r"English title[^:;]*: *([^;]+)")
 _NONE = re.compile(r"no instrument", re.I)
 _LAO_MARKS = re.compile("[^ກ-ຮໜໝ]")
 
-FEATURES = "id long, num int, body string, year int, day int, file string, fnum int, fbody string, fyear int, fday int, en string, lk string, flags int"
+#: Blocking passes, as many as ``_keys`` has keys.
+PASSES = 7
+FEATURES = "id long, num int, body string, year int, day int, file string, fnum int, fbody string, fyear int, fday int, en string, lk string, flags int, kind int"
 
 
 def _date(d, m, y) -> int | None:
@@ -71,6 +75,11 @@ def lao_form(text: str) -> str:
     return _LAO_MARKS.sub("", unicodedata.normalize("NFC", text.replace("ຫນ", "ໜ").replace("ຫມ", "ໝ"))).translate(MISREAD)
 
 
+@cache
+def _kinds() -> tuple[tuple[str, str], ...]:
+    return tuple((a, lao_form(b)) for a, b in KINDS)
+
+
 def _longest(pattern: re.Pattern, text: str, least: int) -> str:
     return max((m for m in pattern.findall(text) if len(m) >= least), key=len, default="")
 
@@ -110,7 +119,8 @@ def features(i, name, number, url, date, notes) -> tuple:
     low = english.lower()
     amended = "amended" in low or "ສະບັບປັບປຸງ" in name or lk is not None and lao_form("ສະບັບປັບປຸງ") in lk
     implements = "implementation" in low or lk is not None and lao_form("ຈັດຕັ້ງປະຕິບັດ") in lk
-    return i, num, body, year, day, file, fnum, fbody, fyear, fday, en, lk, amended + 2 * implements
+    kind = next((k for k, (a, b) in enumerate(_kinds()) if en and en.startswith(a) or lk and lk.startswith(b)), None)
+    return i, num, body, year, day, file, fnum, fbody, fyear, fday, en, lk, amended + 2 * implements, kind
 
 
 def featured(df: DataFrame, row_id: str, name: str, number: str, url: str, date: str | None = None, notes: str | None = None) -> DataFrame:
@@ -149,16 +159,20 @@ def _title_level(a: str, b: str, near: int, least: int) -> Column:
     x, y = F.col(f"r.{a}"), F.col(f"b.{b}")
     short = F.least(F.length(x), F.length(y))
     long_ = F.greatest(F.length(x), F.length(y))
-    edits = F.levenshtein(x, y)
     head = F.levenshtein(F.expr(f"substring(r.{a}, 1, least(length(r.{a}), length(b.{b})))"), F.expr(f"substring(b.{b}, 1, least(length(r.{a}), length(b.{b})))"))
-    return (
-        F.when(x.isNull() | y.isNull(), 0)
-        .when(edits <= near, 1)
+    level = lambda edits: (
+        F.when(edits <= near, 1)
         .when(edits <= 2 * near, 2)
         .when((short >= least) & (long_ - short > 2 * near) & (head <= near), 3)
         .when(edits <= long_ * 0.3, 4)
         .otherwise(5)
     )
+    return F.when(x.isNull() | y.isNull(), 0).when(x == y, 1).otherwise(_once(F.levenshtein(x, y), level))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out a single time, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _levels() -> dict[str, Column]:
@@ -181,7 +195,7 @@ def _levels() -> dict[str, Column]:
         .otherwise(5)
     )
     en, lao = _title_level("en", "en", 2, 18), _title_level("lk", "lk", 1, 10)
-    title = F.when((en == 0) | (lao > 0) & (lao < en), lao).otherwise(en)
+    title = _once(F.struct(en.alias("en"), lao.alias("lao")), lambda t: F.when((t["en"] == 0) | (t["lao"] > 0) & (t["lao"] < t["en"]), t["lao"]).otherwise(t["en"]))
     file = F.when(r("file").isNull() | b("file").isNull(), 0).when(r("file") == b("file"), 1).otherwise(2)
     flags = F.when((r("en").isNull() & r("lk").isNull()) | (b("en").isNull() & b("lk").isNull()), 0).when(r("flags") == b("flags"), 1).otherwise(2)
     return {"number": number, "time": time, "title": title, "file": file, "flags": flags}
@@ -189,19 +203,16 @@ def _levels() -> dict[str, Column]:
 
 #: Levels of each field, 0 (not comparable) included.
 SIZES = {"number": 5, "time": 6, "title": 6, "file": 3, "flags": 3}
-#: Where the rounds start: how often matches show each level (from 1 on).
+#: Where the rounds start: how often matches, and other pairs that a pass proposes, show each level (from 1 on).
 START = {"number": (0.8, 0.01, 0.15, 0.04), "time": (0.4, 0.5, 0.02, 0.02, 0.06), "title": (0.8, 0.1, 0.05, 0.03, 0.02), "file": (0.7, 0.3), "flags": (0.95, 0.05)}
+START_OTHER = {"number": (0.15, 0.6, 0.05, 0.2), "time": (0.02, 0.08, 0.1, 0.5, 0.3), "title": (0.1, 0.1, 0.1, 0.3, 0.4), "file": (0.15, 0.85), "flags": (0.6, 0.4)}
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Posterior of each pattern and the log ratio of each level, by expectation-maximisation. Level 0 is no evidence."""
     fields = list(SIZES)
     m = {f: np.array([0, *START[f]], float) for f in fields}
-    u = {}
-    for k, f in enumerate(fields):
-        total = np.bincount(patterns[:, k], weights=counts, minlength=SIZES[f])
-        total[0] = 0
-        u[f] = (total + 1) / (total[1:].sum() + SIZES[f] - 1)
+    u = {f: np.array([0, *START_OTHER[f]], float) for f in fields}
     share, post = 0.3, np.zeros(len(counts))
     for _ in range(rounds):
         ratio = np.log(share / (1 - share)) + sum(np.where(patterns[:, k] > 0, np.log(np.maximum(m[f], 1e-9))[patterns[:, k]] - np.log(np.maximum(u[f], 1e-9))[patterns[:, k]], 0) for k, f in enumerate(fields))
@@ -244,11 +255,14 @@ def link(records: DataFrame, entries: DataFrame) -> DataFrame:
     explode = lambda x, name: x.select(F.struct(*x.columns).alias(name), F.posexplode("keys").alias("pass", "key")).where("key IS NOT NULL")
     one, many = explode(b, "b"), explode(r, "r")
     met = many.join(broadcast_if_small(one), ["pass", "key"])
-    earlier = F.exists(F.sequence(F.lit(1), F.lit(7)), lambda k: (k <= F.col("pass")) & F.coalesce(F.element_at("r.keys", k) == F.element_at("b.keys", k), F.lit(False)))
+    same = lambda k: F.coalesce(F.col("r.keys")[k] == F.col("b.keys")[k], F.lit(False))
+    earlier = reduce(lambda acc, k: acc | (F.lit(k) < F.col("pass")) & same(k), range(PASSES), F.lit(False))
     levels = _levels()
     code = reduce(lambda acc, f: acc * SIZES[f] + levels[f], SIZES, F.lit(0))
     shown = lambda side: F.struct(F.col(f"{side}.num"), F.col(f"{side}.body"), F.coalesce(f"{side}.year").alias("year"))
-    pairs = met.where(~earlier).select(F.col("b.id").alias("entry_id"), F.col("r.id").alias("record_id"), code.cast("int").alias("code"), shown("b").alias("said"))
+    # another kind, or another year of issue, is another instrument, whatever else they share
+    alike = reduce(lambda acc, c: acc & F.coalesce(F.col(f"r.{c}") == F.col(f"b.{c}"), F.lit(True)), ("kind", "year"), F.lit(True))
+    pairs = met.where(~earlier & alike).select(F.col("b.id").alias("entry_id"), F.col("r.id").alias("record_id"), code.cast("int").alias("code"), shown("b").alias("said"))
     pairs = cut(pairs, "pairs")
     found = pairs.groupBy("code").count().toPandas()
     schema = "code int, confidence double"
