@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import problems
+from quillspark.plans import problems, reference
 
-_PARTS = [problems]
+_PARTS = [problems, reference]
 
 QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _PARTS for k, s in m.SQL.items()}
