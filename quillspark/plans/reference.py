@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, text, urls
-from quillspark.operators import aggregates, changes, checks, joins, ranking, retrieval
+from quillspark.operators import aggregates, changes, checks, joins, ranking, retrieval, segments
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -503,3 +503,135 @@ def o30(s, d):
 def k09(s, d):
     n = ranking.ranked(records(s, d).select("record_id", "source_url"), ["source_url"], [F.col("record_id")], "n")
     return n.select("record_id", F.floor((F.col("n") - 1) / 20).alias("batch"))
+
+
+# more joins and nested data
+
+
+@query("d04_guarded_donor", """WITH donors AS (SELECT original, min(english) AS english FROM gloss_tl WHERE english IS NOT NULL GROUP BY 1)
+SELECT gloss_id, coalesce(g.english, d.english) AS english, g.english IS NULL AND d.english IS NOT NULL AS borrowed FROM gloss_tl g LEFT JOIN donors d ON g.original = d.original""")
+def d04(s, d):
+    g = gloss(s, d).select("gloss_id", "original", "english")
+    donors = g.where("english IS NOT NULL").groupBy("original").agg(F.min("english").alias("donor"))
+    return g.join(donors, "original", "left").select("gloss_id", F.coalesce("english", "donor").alias("english"), (F.col("english").isNull() & F.col("donor").isNotNull()).alias("borrowed"))
+
+
+@query("d12_greedy_groups")
+def d12(s, d):
+    names = table(s, d, "baseline_la").select("baseline_id", "indicator_id", text.tokens(F.col("law_name"), "pure").alias("words")).where("indicator_id IS NOT NULL")
+    return segments.greedy_groups(names, "indicator_id", "baseline_id", "words").select("baseline_id", "group_key")
+
+
+@query("d17_priority_link", """WITH a AS (SELECT law_number_ref, min(baseline_id) AS b1 FROM baseline_la WHERE coalesce(law_number_ref, '') NOT IN ('', 'n/a') GROUP BY 1 HAVING count(*) = 1), t AS (SELECT lower(law_name) AS k, min(baseline_id) AS b2 FROM baseline_la WHERE law_name IS NOT NULL GROUP BY 1 HAVING count(*) = 1)
+SELECT record_id, coalesce(b1, b2) AS baseline_id, CASE WHEN b1 IS NOT NULL THEN 'number' WHEN b2 IS NOT NULL THEN 'title' END AS link_source FROM records_la r LEFT JOIN a USING (law_number_ref) LEFT JOIN t ON lower(r.law_name) = t.k""")
+def d17(s, d):
+    b = table(s, d, "baseline_la")
+    one = lambda df, k, v: df.groupBy(k).agg(F.min("baseline_id").alias(v), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    numbers = one(b.where("coalesce(law_number_ref, '') NOT IN ('', 'n/a')"), "law_number_ref", "b1")
+    titles = one(b.where("law_name IS NOT NULL").withColumn("k", F.lower("law_name")), "k", "b2")
+    r = records(s, d).select("record_id", "law_number_ref", F.lower("law_name").alias("k")).join(numbers, "law_number_ref", "left").join(titles, "k", "left")
+    return r.select("record_id", F.coalesce("b1", "b2").alias("baseline_id"), F.when(F.col("b1").isNotNull(), "number").when(F.col("b2").isNotNull(), "title").alias("link_source"))
+
+
+@query("e09_furniture", """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS body, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS page FROM documents), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), l AS (SELECT DISTINCT doc_id, page, regexp_replace(trim(line, ' '), '[0-9]+', '#', 'g') AS line FROM (SELECT doc_id, page, unnest(string_split(body, chr(10))) AS line FROM p)), c AS (SELECT doc_id, line, count(*) AS pages FROM l WHERE length(line) BETWEEN 1 AND 100 GROUP BY ALL)
+SELECT doc_id, line, pages FROM c JOIN n USING (doc_id) WHERE pages >= greatest(3, floor(n * 0.3))""")
+def e09(s, d):
+    p = documents(s, d).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("page", "body"))
+    return aggregates.furniture(p, "doc_id", "page", "body")
+
+
+@query("f11_sections")
+def f11(s, d):
+    return segments.sections(documents(s, d), "doc_id", "text").select("doc_id", "unit", "number", "start", "end")
+
+
+@query("f21_corrected", """WITH v AS (SELECT record_id % 7 AS k, record_id, law_name, indicator_id FROM records_la) SELECT record_id, law_name, CASE WHEN k = 1 THEN '0.0' ELSE indicator_id END AS indicator_id FROM v WHERE k <> 0""")
+def f21(s, d):
+    r = records(s, d).select("record_id", "law_name", "indicator_id")
+    k = F.col("record_id") % 7
+    said = r.where(k <= 1).select("record_id", F.when(k == 0, "reject").otherwise("correct").alias("verdict"), F.when(k == 1, F.create_map(F.lit("indicator_id"), F.lit("0.0"))).alias("corrections"))
+    return changes.corrected(r, said, "record_id", "verdict", "corrections", ["law_name", "indicator_id"])
+
+
+@query("g07_cap_and_rest", "SELECT row_id, row_number() OVER (PARTITION BY economy, snapshot_date ORDER BY coalesce(in_seed = 'true', false) DESC, coalesce(in_relevant = 'true', false) DESC, published_on DESC NULLS LAST, row_id) <= 50 AS taken FROM law_census")
+def g07(s, d):
+    yes = lambda c: F.coalesce(F.col(c) == "true", F.lit(False)).desc()
+    r = ranking.ranked(census(s, d), ["economy", "snapshot_date"], [yes("in_seed"), yes("in_relevant"), F.desc_nulls_last("published_on"), F.col("row_id")], "n")
+    return r.select("row_id", (F.col("n") <= 50).alias("taken"))
+
+
+@query("i14_plain_text", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(?s)<[^>]*>', ' ', 'g'), '[\\s\\x{00a0}]+', ' ', 'g'))) AS body FROM documents WHERE NOT contains(text, '&') AND NOT regexp_matches(text, '[^ -~\\n]')")
+def i14(s, d):
+    plain = documents(s, d).where("NOT contains(text, '&') AND NOT text RLIKE '[^ -~\\n]'")
+    return plain.select("doc_id", F.md5(text.strip_tags(F.col("text"))).alias("body"))
+
+
+@query("i21_overlap", """WITH p AS (SELECT b.baseline_id, list_distinct(string_split(lower(b.law_name), ' ')) AS x, list_distinct(string_split(lower(r.law_name), ' ')) AS y, r.record_id FROM baseline_la b JOIN records_la r ON b.law_number_ref = r.law_number_ref WHERE coalesce(b.law_number_ref, '') NOT IN ('', 'n/a') AND b.law_name IS NOT NULL AND r.law_name IS NOT NULL)
+SELECT baseline_id, record_id, round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) AS score FROM p""")
+def i21(s, d):
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    b = table(s, d, "baseline_la").where("coalesce(law_number_ref, '') NOT IN ('', 'n/a') AND law_name IS NOT NULL").select("baseline_id", "law_number_ref", words("law_name").alias("x"))
+    r = records(s, d).where("law_name IS NOT NULL").select("record_id", "law_number_ref", words("law_name").alias("y"))
+    return b.join(r, "law_number_ref").select("baseline_id", "record_id", F.round(text.overlap(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+@query("i39_anchored")
+def i39(s, d):
+    g = gloss(s, d).select("gloss_id", "original", F.upper(F.substring(F.regexp_replace("original", " ", "  "), 10, 60)).alias("quote"))
+    return segments.anchored(g, "quote", "original").select("gloss_id", "grounded", "how", "start", "end")
+
+
+@query("j12_language_codes", """SELECT doc_id, CASE lower(trim(lang)) WHEN 'en' THEN 'eng' WHEN 'pt' THEN 'por' WHEN 'zh' THEN 'zho' WHEN 'lo' THEN 'lao' WHEN 'id' THEN 'ind' END AS code FROM documents""")
+def j12(s, d):
+    return documents(s, d).select("doc_id", dates.language_code(F.col("lang")).alias("code"))
+
+
+@query("j18_script_counts", "SELECT doc_id, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS han, len(regexp_extract_all(text, '[\\x{0e80}-\\x{0eff}]')) AS lao, len(regexp_extract_all(text, '[A-Za-z]')) AS latin FROM documents")
+def j18(s, d):
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("bigint")
+    return documents(s, d).select("doc_id", n("[\\u4e00-\\u9fff]").alias("han"), n("[\\u0e80-\\u0eff]").alias("lao"), n("[A-Za-z]").alias("latin"))
+
+
+@query("k10_bin_pack")
+def k10(s, d):
+    rows = table(s, d, "records_cn").select("law_row_id", F.posexplode("provisions").alias("pos", "p")).select("law_row_id", "pos", "p.record_id", F.coalesce(F.length("p.verbatim_snippet"), F.lit(0)).alias("size"))
+    return ranking.bin_pack(rows, "law_row_id", "pos", "size", 300, 5).select("record_id", "batch")
+
+
+@query("l09_carried", """WITH o AS (SELECT portal_id, min(title) AS title, min(legal_status) AS legal_status FROM law_census WHERE snapshot_date = '2026-04-01' GROUP BY 1), n AS (SELECT portal_id, min(title) AS title, min(legal_status) AS legal_status, bool_or(in_seed = 'true') AS read FROM law_census WHERE snapshot_date = '2026-06-01' GROUP BY 1)
+SELECT portal_id, coalesce(n.title, o.title) AS title, CASE WHEN n.portal_id IS NULL THEN o.legal_status WHEN NOT coalesce(read, false) AND o.portal_id IS NOT NULL THEN o.legal_status ELSE n.legal_status END AS legal_status, CASE WHEN n.portal_id IS NULL THEN 'not listed' END AS carried FROM o FULL JOIN n USING (portal_id)""")
+def l09(s, d):
+    at = lambda day: census(s, d).where(F.col("snapshot_date") == day).groupBy("portal_id")
+    o = at("2026-04-01").agg(F.min("title").alias("title"), F.min("legal_status").alias("legal_status"))
+    n = at("2026-06-01").agg(F.min("title").alias("title"), F.min("legal_status").alias("legal_status"), F.bool_or(F.col("in_seed") == "true").alias("read"))
+    return changes.carried_forward(o, n, "portal_id", F.col("read"), ["legal_status"], "not listed")
+
+
+@query("o10_membership", "SELECT portal_id, bool_or(in_seed = 'true') AS in_seed, bool_or(in_relevant = 'true') AS in_relevant, coalesce(list_sort(list_distinct(flatten(list(string_split(document_kinds, ';')) FILTER (document_kinds IS NOT NULL)))), []) AS kinds FROM law_census GROUP BY 1")
+def o10(s, d):
+    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("document_kinds", ";")))))
+    return census(s, d).groupBy("portal_id").agg(F.bool_or(F.col("in_seed") == "true").alias("in_seed"), F.bool_or(F.col("in_relevant") == "true").alias("in_relevant"), kinds.alias("kinds"))
+
+
+@query("o57_url_references", "SELECT source_url, count(*) AS refs, min(record_id) AS first, max(record_id) AS last, count(DISTINCT indicator_id) AS indicators FROM records_la WHERE source_url LIKE 'http%' GROUP BY 1")
+def o57(s, d):
+    # a count and the ends instead of the list of references: one address holds a tenth of the rows
+    return records(s, d).where("source_url LIKE 'http%'").groupBy("source_url").agg(F.count(F.lit(1)).alias("refs"), F.min("record_id").alias("first"), F.max("record_id").alias("last"), F.countDistinct("indicator_id").alias("indicators"))
+
+
+@query("e05_weighted_sum", "SELECT o_orderpriority, round(sum(l_extendedprice * (1 - l_discount)) / 1e6, 4) AS volume, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def e05(s, d):
+    o, li = table(s, d, "orders"), table(s, d, "lineitem")
+    return o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_orderpriority").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6, 4).alias("volume"), F.count(F.lit(1)).alias("n"))
+
+
+@query("e02_max_roll_up", "WITH per AS (SELECT n_name, c_custkey, max(o_totalprice) AS best FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT n_name, max(best) AS best, count(*) AS groups, count_if(best > 300000) AS counted FROM per GROUP BY 1")
+def e02(s, d):
+    o, c, n = table(s, d, "orders"), table(s, d, "customer"), table(s, d, "nation")
+    per = o.groupBy("o_custkey").agg(F.max("o_totalprice").alias("best")).join(c, F.col("o_custkey") == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return per.groupBy("n_name").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("best") > 300000).alias("counted"))
+
+
+@query("d22_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def d22(s, d):
+    return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
