@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,27 @@ def local_session(app: str = "quillspark", cores: str = "8", partitions: int = 8
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application: they may run where it is not installed."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quillspark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/quillspark-code.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, f"{home.name}/{p.relative_to(home)}")
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
