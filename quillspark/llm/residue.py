@@ -88,6 +88,11 @@ ERRORS = (
     ("系统繁忙", r"系统繁忙，请"),
     ("ບໍ່ພົບໜ້າເວັບ", r"ບໍ່ພົບໜ້າເວັບ"),
     ("could not be converted", r"^\W*the file could not be converted"),
+    ("connection failed", r"^\W*(?:database )?connection failed\b"),
+    ("site administrator", r"^\W*contact the site administrator"),
+    ("too many requests", r"^\W*too many requests\b"),
+    ("temporarily limited", r"your address has been temporarily limited"),
+    ("you are looking for", r"^\W*sorry, the page you are looking for"),
 )
 #: Notices that scripts or a browser check are needed:
 SCRIPTS = (
