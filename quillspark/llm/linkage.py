@@ -206,7 +206,9 @@ def _levels() -> dict[str, Column]:
     )
     en, lao = _title_level("en", "en", 2, 18), _title_level("lk", "lk", 1, 10)
     title = _once(F.struct(en.alias("en"), lao.alias("lao")), lambda t: F.when((t["en"] == 0) | (t["lao"] > 0) & (t["lao"] < t["en"]), t["lao"]).otherwise(t["en"]))
-    file = F.when(r("file").isNull() | b("file").isNull(), 0).when(r("file") == b("file"), 1).otherwise(2)
+    # a viewer's number and a file's name are different namings and can't contradict each other
+    viewed = lambda x: x.rlike("^view[0-9]+$")
+    file = F.when(r("file").isNull() | b("file").isNull() | (viewed(r("file")) != viewed(b("file"))), 0).when(r("file") == b("file"), 1).otherwise(2)
     flags = F.when((r("en").isNull() & r("lk").isNull()) | (b("en").isNull() & b("lk").isNull()), 0).when(r("flags") == b("flags"), 1).otherwise(2)
     return {"number": number, "time": time, "title": title, "file": file, "flags": flags}
 
