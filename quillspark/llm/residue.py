@@ -90,6 +90,7 @@ ERRORS = (
     ("could not be converted", r"^\W*the file could not be converted"),
     ("connection failed", r"^\W*(?:database )?connection failed\b"),
     ("site administrator", r"^\W*contact the site administrator"),
+    ("unexpected error", r"^\W*an unexpected error (?:has )?occurred"),
     ("too many requests", r"^\W*too many requests\b"),
     ("temporarily limited", r"your address has been temporarily limited"),
     ("you are looking for", r"^\W*sorry, the page you are looking for"),
@@ -287,7 +288,8 @@ def residue_passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             found, owner = bags(parts)
             mark = np.array(sure, bool)
             likely = np.flatnonzero(mark | (scores(odds, prior, found, owner, len(parts)) >= least))
-            keep = np.array([i for i in likely if mark[i] or not _PRINTED.search(parts[i])], np.int64)
+            size = np.bincount(owner, minlength=len(parts))  # a single word tells nothing
+            keep = np.array([i for i in likely if mark[i] or size[i] > 2 and not _PRINTED.search(parts[i])], np.int64)
             order = np.argsort(owner, kind="stable")
             ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
             lists = [found[order[ends[i - 1] if i else 0 : ends[i]]].tolist() for i in keep]
