@@ -258,8 +258,9 @@ def _posterior(score: np.ndarray) -> np.ndarray:
 def residue_passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Scored passages of documents that may be residue: ``doc_id, passage, trusted, probability``.
 
-    All passages of all documents are counted and scored; those below FLOOR under the first model, and those with blanks
-    printed for the public to fill in but no trusted sign, are left out of the result. Null and empty texts have no passages; repeated rows repeat their passages; other columns don't matter. If
+    All passages of all documents are counted and scored. Left out of the result are those below FLOOR under the first
+    model, and, unless they hold a trusted sign, single words and passages with blanks printed for the public to fill in.
+    Null and empty texts have no passages; repeated rows repeat their passages; other columns don't matter. If
     nothing trusted exists in the corpus, there is nothing to learn from and the result is empty.
 
     The model is a vector of fixed size (BINS), which is all that ever reaches the driver. Two passes over the texts:
