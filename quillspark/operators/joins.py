@@ -22,7 +22,7 @@ def merge_by_precedence(frames: Sequence[tuple[str, DataFrame]], key: str, colum
     return out.select(key, *picks)
 
 
-def join_with_fallback(left: DataFrame, right: DataFrame, keys: Sequence[Sequence[str]], values: Sequence[str], row_id: str) -> DataFrame:
+def join_with_fallback(left: DataFrame, right: DataFrame, keys: Sequence[Sequence[str]], values: Sequence[str]) -> DataFrame:
     """Left join on the first key set that finds anything (D02, D03): adds ``values``, ``matched_on`` (0 for the first key
     set; null without match) and ``ambiguous`` (several rows matched; the least row is taken)."""
     out = left

@@ -160,10 +160,10 @@ def e20(s, d):
 @query("f02_layered_config", """SELECT record_id, CASE WHEN indicator_id = '6.1' AND upper(economy) = 'LA' THEN 0.4 WHEN indicator_id = '6.1' THEN 0.5 WHEN indicator_id LIKE '7.%' THEN 0.55 ELSE 0.6 END AS theta FROM records_la""".replace("0.4 ", "0.4::DOUBLE ").replace("0.5 ", "0.5::DOUBLE ").replace("0.55 ", "0.55::DOUBLE ").replace("0.6 ", "0.6::DOUBLE "))
 def f02(s, d):
     cfg = s.createDataFrame([("class", None, None, "*", 0.6), ("class", None, None, "7", 0.55), ("indicator", None, "6.1", None, 0.5), ("override", "LA", "6.1", None, 0.4)], "scope string, economy string, indicator string, class string, theta double")
-    pick = lambda where, name: F.broadcast(cfg.where(where))
+    pick = lambda where: F.broadcast(cfg.where(where))
     r = records(s, d).select("record_id", F.upper("economy").alias("economy"), F.col("indicator_id").alias("indicator"), F.regexp_extract(F.coalesce("indicator_id", F.lit("")), "^([0-9]+)[.]", 1).alias("class"))
     default = cfg.where("class = '*'").select(F.col("theta").alias("t0"))
-    layers = [pick("scope = 'class' AND class <> '*'", "").select("class", F.col("theta").alias("t1")), pick("scope = 'indicator'", "").select("indicator", F.col("theta").alias("t2")), pick("scope = 'override'", "").select("economy", "indicator", F.col("theta").alias("t3"))]
+    layers = [pick("scope = 'class' AND class <> '*'").select("class", F.col("theta").alias("t1")), pick("scope = 'indicator'").select("indicator", F.col("theta").alias("t2")), pick("scope = 'override'").select("economy", "indicator", F.col("theta").alias("t3"))]
     out = r.crossJoin(F.broadcast(default)).join(layers[0], "class", "left").join(layers[1], "indicator", "left").join(layers[2], ["economy", "indicator"], "left")
     return out.select("record_id", F.coalesce("t3", "t2", "t1", "t0").alias("theta"))
 
@@ -298,10 +298,10 @@ def o24(s, d):
     return census(s, d).where("economy = 'CN'").selectExpr("row_id", "try_cast(nullif(regexp_extract(title, '([0-9]{4})年', 1), '') AS INT) AS year")
 
 
-@query("o29_completeness", """WITH p AS (SELECT portal_id, try_cast(compilation_number AS INTEGER) AS n FROM law_census WHERE economy = 'SG'), r AS (SELECT portal_id, min(n) AS lo, max(n) AS hi, count(DISTINCT n) AS have FROM p WHERE n IS NOT NULL GROUP BY 1)
+@query("o29_completeness", """WITH p AS (SELECT portal_id, try_cast(compilation_number AS INTEGER) AS n FROM law_census), r AS (SELECT portal_id, min(n) AS lo, max(n) AS hi, count(DISTINCT n) AS have FROM p WHERE n IS NOT NULL GROUP BY 1)
 SELECT portal_id, hi - lo + 1 - have AS missing FROM r WHERE hi - lo + 1 > have""")
 def o29(s, d):
-    p = census(s, d).where("economy = 'SG'").selectExpr("portal_id", "try_cast(compilation_number AS INT) AS n").where("n IS NOT NULL")
+    p = census(s, d).selectExpr("portal_id", "try_cast(compilation_number AS INT) AS n").where("n IS NOT NULL")
     r = p.groupBy("portal_id").agg((F.max("n") - F.min("n") + 1 - F.countDistinct("n")).alias("missing"))
     return r.where("missing > 0")
 

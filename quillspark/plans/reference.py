@@ -154,7 +154,7 @@ SELECT record_id, CASE WHEN k1.n IS NOT NULL THEN k1.baseline_id ELSE k2.baselin
 FROM records_la r LEFT JOIN k1 USING (law_name, law_number_ref) LEFT JOIN k2 USING (law_number_ref)""")
 def d03(s, d):
     r, b = records(s, d).select("record_id", "law_name", "law_number_ref"), table(s, d, "baseline_la").select("baseline_id", "law_name", "law_number_ref")
-    return joins.join_with_fallback(r, b, [["law_name", "law_number_ref"], ["law_number_ref"]], ["baseline_id"], "record_id").select("record_id", "baseline_id", "matched_on", "ambiguous")
+    return joins.join_with_fallback(r, b, [["law_name", "law_number_ref"], ["law_number_ref"]], ["baseline_id"]).select("record_id", "baseline_id", "matched_on", "ambiguous")
 
 
 @query("d10_within", """SELECT g.event_id, o.o_orderkey FROM events g JOIN (SELECT o_orderkey, o_custkey, epoch(o_orderdate)::BIGINT AS a FROM orders) o ON g.user_id = o.o_custkey AND g.event_id * 1000 + 700000000 >= o.a - 1000000 AND g.event_id * 1000 + 700000000 < o.a + 9000000""")
@@ -344,8 +344,7 @@ def f30(s, d):
 
 @query("g01_bm25")
 def g01(s, d):
-    items = table(s, d, "gold_items").where("lang = 'en'")
-    return retrieval.bm25(documents(s, d), "doc_id", "text", items, "item_id", "text", 10)
+    return retrieval.bm25(documents(s, d), "doc_id", "text", table(s, d, "gold_items"), "item_id", "text", 10)
 
 
 @query("g02_nearest", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
@@ -545,12 +544,13 @@ def f11(s, d):
     return segments.sections(documents(s, d), "doc_id", "text").select("doc_id", "unit", "number", "start", "end")
 
 
-@query("f21_corrected", """WITH v AS (SELECT record_id % 7 AS k, record_id, law_name, indicator_id FROM records_la) SELECT record_id, law_name, CASE WHEN k = 1 THEN '0.0' ELSE indicator_id END AS indicator_id FROM v WHERE k <> 0""")
+@query("f21_corrected", "SELECT record_id, law_name, CASE WHEN lower(trim(discovery_tag)) = 'known' THEN '0.0' ELSE indicator_id END AS indicator_id FROM records_la WHERE coalesce(confidence <> '0.6', true)")
 def f21(s, d):
-    r = records(s, d).select("record_id", "law_name", "indicator_id")
-    k = F.col("record_id") % 7
-    said = r.where(k <= 1).select("record_id", F.when(k == 0, "reject").otherwise("correct").alias("verdict"), F.when(k == 1, F.create_map(F.lit("indicator_id"), F.lit("0.0"))).alias("corrections"))
-    return changes.corrected(r, said, "record_id", "verdict", "corrections", ["law_name", "indicator_id"])
+    # decisions as a reviewer might log them: doubtful rows rejected, known ones given another indicator
+    r = records(s, d)
+    reject, known = F.col("confidence") == "0.6", F.lower(F.trim("discovery_tag")) == "known"
+    said = r.where(reject | known).select("record_id", F.when(reject, "reject").otherwise("correct").alias("verdict"), F.when(known, F.create_map(F.lit("indicator_id"), F.lit("0.0"))).alias("corrections"))
+    return changes.corrected(r.select("record_id", "law_name", "indicator_id"), said, "record_id", "verdict", "corrections", ["law_name", "indicator_id"])
 
 
 @query("g07_cap_and_rest", "SELECT row_id, row_number() OVER (PARTITION BY economy, snapshot_date ORDER BY coalesce(in_seed = 'true', false) DESC, coalesce(in_relevant = 'true', false) DESC, published_on DESC NULLS LAST, row_id) <= 50 AS taken FROM law_census")
@@ -560,10 +560,13 @@ def g07(s, d):
     return r.select("row_id", (F.col("n") <= 50).alias("taken"))
 
 
-@query("i14_plain_text", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(?s)<[^>]*>', ' ', 'g'), '[\\s\\x{00a0}]+', ' ', 'g'))) AS body FROM documents WHERE NOT contains(text, '&') AND NOT regexp_matches(text, '[^ -~\\n]')")
+_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query("i14_plain_text", rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM documents), e AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM t)
+SELECT doc_id, md5(regexp_replace(regexp_replace(t, '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g')) AS body FROM e""")
 def i14(s, d):
-    plain = documents(s, d).where("NOT contains(text, '&') AND NOT text RLIKE '[^ -~\\n]'")
-    return plain.select("doc_id", F.md5(text.strip_tags(F.col("text"))).alias("body"))
+    return documents(s, d).select("doc_id", F.md5(text.strip_tags(F.col("text"))).alias("body"))
 
 
 @query("i21_overlap", """WITH p AS (SELECT b.baseline_id, list_distinct(string_split(lower(b.law_name), ' ')) AS x, list_distinct(string_split(lower(r.law_name), ' ')) AS y, r.record_id FROM baseline_la b JOIN records_la r ON b.law_number_ref = r.law_number_ref WHERE coalesce(b.law_number_ref, '') NOT IN ('', 'n/a') AND b.law_name IS NOT NULL AND r.law_name IS NOT NULL)

@@ -63,7 +63,7 @@ def test_precedence_fallback_and_matches(spark):
     assert rows(joins.merge_by_precedence([("a", a), ("b", b)], "k", ["v", "w"]).na.fill("-")) == [("x", "1", "a", "p", "b"), ("y", "-", "-", "q", "a"), ("z", "3", "b", "-", "-")]
     left = spark.createDataFrame([(1, "k1", "n1"), (2, "none", "n1"), (3, None, None)], "id int, k string, n string")
     right = spark.createDataFrame([("k1", "n9", 10), ("k2", "n1", 20), ("k3", "n1", 30)], "k string, n string, v int")
-    got = joins.join_with_fallback(left, right.select("k", "n", "v"), [["k"], ["n"]], ["v"], "id").select("id", "v", "matched_on", "ambiguous").collect()
+    got = joins.join_with_fallback(left, right.select("k", "n", "v"), [["k"], ["n"]], ["v"]).select("id", "v", "matched_on", "ambiguous").collect()
     assert sorted((r.id, r.v, r.matched_on, r.ambiguous) for r in got) == [(1, 10, 0, False), (2, 20, 1, True), (3, None, None, None)]
 
 
