@@ -8,7 +8,6 @@ token's dominant script, and only if the result is a word of the corpus.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -85,7 +84,7 @@ def _fold_table() -> dict[int, str]:
     """Code point to what it is drawn like. Built from the Unicode database once per process."""
     within = lambda cp, ranges: any(a <= cp <= b for a, b in ranges)
     out: dict[int, str] = {ord(k): v for k, v in ALIKE_SINGLE.items()}
-    for cp in range(0x80, sys.maxunicode + 1):
+    for cp in (*range(0x80, 0x30000), *range(0xE0000, 0xE0200)):  # no other planes hold such characters
         ch = chr(cp)
         tag = unicodedata.decomposition(ch)
         if tag.startswith(("<wide>", "<narrow>", "<noBreak>")) or tag.startswith("<compat>") and within(cp, ALIKE_COMPAT):
