@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import broadcast_if_small
+
 
 def upsert(old: DataFrame, new: DataFrame, processed: DataFrame, key: str) -> DataFrame:
     """Rows of processed keys are replaced, also where nothing new came; all others survive."""
@@ -33,6 +35,37 @@ def carried_forward(old: DataFrame, fresh: DataFrame, key: str, read: Column, st
     return j.select(key, *[pick(c).alias(c) for c in old.columns if c != key], F.when(F.col("f").isNull(), F.lit(note)).alias("carried"))
 
 
+def consecutive(rows: DataFrame, source: str, key: str, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """The listings before and after each step between consecutive snapshots that a source delivered, for ``listing_changes``
+    over all of them at once: ``k`` is the struct of source, key and later snapshot. ``rows`` has one row per source, key and
+    snapshot; a source's first snapshot ends no step."""
+    dates = rows.select(source, snapshot).distinct()
+    by = Window.partitionBy(source).orderBy(snapshot)
+    dates = dates.select(F.col(source).alias("s_"), F.col(snapshot).alias("d_"), F.lag(snapshot).over(by).alias("prev_"), F.lead(snapshot).over(by).alias("next_"))
+    dated = rows.join(broadcast_if_small(dates), F.col(source).eqNullSafe(F.col("s_")) & (F.col(snapshot) == F.col("d_")))
+    values = [c for c in rows.columns if c not in (source, key, snapshot)]
+    at = lambda c: dated.where(f"{c} IS NOT NULL").select(F.struct(F.col(source), F.col(key), F.col("next_" if c == "next_" else snapshot).alias(snapshot)).alias("k"), *values)
+    return at("next_"), at("prev_")
+
+
+def carried_over(rows: DataFrame, source: str, key: str, snapshot: str, read: Column, state: Sequence[str], note: str) -> DataFrame:
+    """``carried_forward`` from each delivered snapshot of a source to the next, the result of a step being the old side of the
+    one after: a key holds its last read state (that of its first listing until then), other columns their last stated
+    value, and it stays, with a note, in the snapshots that don't list it. ``rows`` has one row per source, key and
+    snapshot; the result one per key and snapshot of its source from the second on."""
+    dates = rows.select(F.col(source).alias("s_"), F.col(snapshot).alias("d_")).distinct()
+    dates = dates.withColumn("step_", F.row_number().over(Window.partitionBy("s_").orderBy("d_")))
+    keys = rows.groupBy(source, key).agg(F.min(snapshot).alias("since_"))
+    grid = keys.join(broadcast_if_small(dates), F.col(source).eqNullSafe(F.col("s_")) & (F.col("d_") >= F.col("since_"))).select(F.col(source).alias("s_"), F.col(key).alias("k_"), "d_", "since_", "step_")
+    listed = rows.withColumn("read_", F.coalesce(read, F.lit(False)))
+    j = grid.join(listed, F.col("s_").eqNullSafe(F.col(source)) & (F.col("k_") == F.col(key)) & (F.col("d_") == F.col(snapshot)), "left")
+    w = Window.partitionBy("s_", "k_").orderBy("d_")
+    kept = F.last(F.when(F.col("read_") | (F.col("d_") == F.col("since_")), F.struct(*state)), True).over(w)
+    values = [c for c in rows.columns if c not in (source, key, snapshot)]
+    j = j.withColumn("kept_", kept).select(F.col("s_").alias(source), F.col("k_").alias(key), F.col("d_").alias(snapshot), "step_", *[(F.col(f"kept_.{c}") if c in state else F.last(c, True).over(w)).alias(c) for c in values], F.when(F.col(snapshot).isNull(), F.lit(note)).alias("carried"))
+    return j.where("step_ > 1").drop("step_")
+
+
 def corrected(rows: DataFrame, decisions: DataFrame, key: str, verdict: str, corrections: str, columns: Sequence[str]) -> DataFrame:
     """Rows without the rejected ones, corrections put in column by column (F21). ``decisions`` has one row per key, its
     corrections a map of column to value."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, text, urls
-from quillspark.operators import aggregates, changes, checks, joins, ranking, retrieval, segments
+from quillspark.operators import aggregates, changes, checks, joins, ranking, retrieval, segments, snapshots
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,6 +478,50 @@ def l06(s, d):
     return changes.listing_changes(at("2026-04-01"), at("2026-06-01"), "portal_id", {"title": F.col("title"), "status": F.col("legal_status")})
 
 
+def _listed(s, d, *cols):
+    """One row per law and snapshot, by the rules of p3: the latest delivery holds; keys in upper case without white space around."""
+    c = census(s, d).withColumn("portal_id", F.upper(F.regexp_replace("portal_id", r"(?U)^\s+|\s+$", ""))).where("length(portal_id) > 0 AND length(snapshot_date) > 0")
+    return ranking.latest(c.select("economy", "portal_id", "snapshot_date", "delivered_at", "row_id", *cols), ["economy", "portal_id", "snapshot_date"], ["delivered_at", "row_id"]).drop("delivered_at", "row_id")
+
+
+_LISTED = r"""WITH l AS (SELECT * FROM (SELECT * REPLACE (upper(regexp_replace(portal_id, '^\s+|\s+$', '', 'g')) AS portal_id) FROM law_census) WHERE length(portal_id) > 0 AND length(snapshot_date) > 0 QUALIFY row_number() OVER (PARTITION BY economy, portal_id, snapshot_date ORDER BY delivered_at DESC NULLS LAST, row_id DESC) = 1),
+c AS (SELECT economy, snapshot_date, lag(snapshot_date) OVER (PARTITION BY economy ORDER BY snapshot_date) AS prev FROM (SELECT DISTINCT economy, snapshot_date FROM l)),
+"""
+
+
+@query("l06_listing_changes_all", _LISTED + r"""v AS (SELECT economy, portal_id, snapshot_date, title, nullif(regexp_replace(lower(regexp_replace(legal_status, '^\s+|\s+$', '', 'g')), '[_\-\s]+', ' ', 'g'), '') AS status FROM l),
+n AS (SELECT v.* FROM v JOIN c ON v.economy IS NOT DISTINCT FROM c.economy AND v.snapshot_date = c.snapshot_date WHERE c.prev IS NOT NULL), o AS (SELECT v.* REPLACE (c.snapshot_date AS snapshot_date) FROM v JOIN c ON v.economy IS NOT DISTINCT FROM c.economy AND v.snapshot_date = c.prev)
+SELECT coalesce(n.economy, o.economy) AS economy, coalesce(n.portal_id, o.portal_id) AS portal_id, coalesce(n.snapshot_date, o.snapshot_date) AS snapshot_date, CASE WHEN o.portal_id IS NULL THEN 'new' WHEN n.portal_id IS NULL THEN 'gone' ELSE 'changed' END AS change, CASE WHEN o.portal_id IS NULL OR n.portal_id IS NULL THEN [] ELSE list_filter([CASE WHEN o.title IS DISTINCT FROM n.title THEN 'title' END, CASE WHEN o.status IS DISTINCT FROM n.status THEN 'status' END], lambda x: x IS NOT NULL) END AS reasons
+FROM o FULL JOIN n ON o.economy IS NOT DISTINCT FROM n.economy AND o.portal_id = n.portal_id AND o.snapshot_date = n.snapshot_date WHERE o.portal_id IS NULL OR n.portal_id IS NULL OR o.title IS DISTINCT FROM n.title OR o.status IS DISTINCT FROM n.status""")
+def l06_all(s, d):
+    old, new = changes.consecutive(_listed(s, d, "title", "legal_status"), "economy", "portal_id", "snapshot_date")
+    return changes.listing_changes(old, new, "k", {"title": F.col("title"), "status": snapshots.loose_word(F.col("legal_status"))}).select("k.*", "change", "reasons")
+
+
+@query("l05_moved_all", _LISTED + r"""u AS (SELECT economy, portal_id, snapshot_date, lower(regexp_replace(document_url, '[?#].*$', '')) AS u FROM l WHERE document_url <> ''),
+m AS (SELECT economy, portal_id, snapshot_date, lag(u) OVER w AS was, u AS is_now FROM u WINDOW w AS (PARTITION BY economy, portal_id ORDER BY snapshot_date))
+SELECT * FROM m WHERE was <> is_now""")
+def l05_all(s, d):
+    # an address is compared with the law's last stated one, so a snapshot without address or law hides no move
+    u = _listed(s, d, "document_url").where("document_url <> ''").withColumn("is_now", F.lower(F.regexp_replace("document_url", "[?#].*$", "")))
+    w = Window.partitionBy("economy", "portal_id").orderBy("snapshot_date")
+    return u.select("economy", "portal_id", "snapshot_date", F.lag("is_now").over(w).alias("was"), "is_now").where("was <> is_now")
+
+
+@query("l09_carried_all", _LISTED + """f AS (SELECT economy, portal_id, min(snapshot_date) AS since FROM l GROUP BY ALL), g AS (SELECT f.*, c.snapshot_date, c.prev FROM f JOIN c ON f.economy IS NOT DISTINCT FROM c.economy AND c.snapshot_date >= f.since),
+j AS (SELECT g.*, l.portal_id IS NOT NULL AS listed, l.title, l.legal_status, coalesce(l.in_seed = 'true', false) OR g.snapshot_date = g.since AS holds FROM g LEFT JOIN l ON g.economy IS NOT DISTINCT FROM l.economy AND g.portal_id = l.portal_id AND g.snapshot_date = l.snapshot_date),
+k AS (SELECT economy, portal_id, snapshot_date, prev, last_value(title IGNORE NULLS) OVER w AS title, last_value(CASE WHEN holds THEN {'s': legal_status} END IGNORE NULLS) OVER w AS state, CASE WHEN NOT listed THEN 'not listed' END AS carried FROM j WINDOW w AS (PARTITION BY economy, portal_id ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT economy, portal_id, snapshot_date, title, state.s AS legal_status, carried FROM k WHERE prev IS NOT NULL""")
+def l09_all(s, d):
+    rows = _listed(s, d, "title", "legal_status", "in_seed")
+    return changes.carried_over(rows, "economy", "portal_id", "snapshot_date", F.col("in_seed") == "true", ["legal_status"], "not listed").drop("in_seed")
+
+
+@query("o12_fingerprints_all", _LISTED + "k AS (SELECT DISTINCT economy, snapshot_date, portal_id FROM l) SELECT economy, snapshot_date, md5(string_agg(portal_id, '|' ORDER BY portal_id)) AS fingerprint FROM k GROUP BY ALL")
+def o12_all(s, d):
+    return _listed(s, d).groupBy("economy", "snapshot_date").agg(F.md5(F.array_join(F.array_sort(F.collect_list("portal_id")), "|")).alias("fingerprint"))
+
+
 @query("o01_stale", """WITH a AS (SELECT last_amending_instrument AS amending, max(published_on) AS amended FROM law_census WHERE coalesce(last_amending_instrument, '') <> '' AND coalesce(published_on, '') <> '' GROUP BY 1)
 SELECT DISTINCT portal_id FROM law_census l JOIN a ON l.last_amending_instrument = a.amending WHERE l.published_on <> '' AND l.published_on < a.amended""")
 def o01(s, d):

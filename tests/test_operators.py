@@ -86,6 +86,17 @@ def test_changes(spark):
     assert [(r.version, r.valid_from, r.valid_to, r.seq) for r in changes.history(h, ["k"], "t", F.col("v")).orderBy("seq").collect()] == [("x", 1, 3, 1), (None, 3, 5, 2), ("x", 5, None, 3)]
 
 
+def test_all_consecutive_snapshots(spark):
+    # LA delivered nothing in b, as AU did; AU's law 2 comes in b, law 1 is gone in c
+    data = [("AU", 1, "a", "x", "s", False), ("AU", 1, "b", "x", "t", False), ("AU", 2, "b", "y", "s", True), ("AU", 2, "c", "z", "s", True), ("LA", 1, "a", "x", "s", True), ("LA", 1, "c", None, "t", False), ("LA", 3, "c", "w", None, False), (None, 4, "a", "q", "s", True)]
+    df = spark.createDataFrame(data, "src string, k_id int, day string, title string, status string, seen boolean")
+    old, new = changes.consecutive(df, "src", "k_id", "day")
+    got = rows(changes.listing_changes(old, new, "k", {c: F.col(c) for c in ("title", "status")}).select("k.*", "change", "reasons"))
+    assert got == [("AU", 1, "b", "changed", ["status"]), ("AU", 1, "c", "gone", []), ("AU", 2, "b", "new", []), ("AU", 2, "c", "changed", ["title"]), ("LA", 1, "c", "changed", ["title", "status"]), ("LA", 3, "c", "new", [])]
+    got = rows(changes.carried_over(df, "src", "k_id", "day", F.col("seen"), ["status"], "gone").drop("seen"))
+    assert got == [("AU", 1, "b", "x", "s", None), ("AU", 1, "c", "x", "s", "gone"), ("AU", 2, "b", "y", "s", None), ("AU", 2, "c", "z", "s", None), ("LA", 1, "c", "x", "s", None), ("LA", 3, "c", "w", None, None)]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("1", "Yes", ""), ("x", "0", "v"), (None, "maybe", None)], "n string, b string, o string")
     assert [tuple(r) for r in checks.coerced(df, ["n"], ["b"], ["o"]).collect()] == [(1, True, None), (None, False, "v"), (None, None, None)]
