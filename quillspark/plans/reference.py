@@ -447,6 +447,12 @@ def i42(s, d):
     return lines.groupBy(text.digit_mask(F.trim("l")).alias("line")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
+@query("i42_masked_lines_all", "SELECT regexp_replace(trim(line), '[0-9]+', '#', 'g') AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) >= 1 GROUP BY 1 HAVING count(*) >= 3")
+def i42_all(s, d):
+    lines = documents(s, d).select(F.explode(F.split("text", "\n")).alias("l")).where(F.length(F.trim("l")) >= 1)
+    return lines.groupBy(text.digit_mask(F.trim("l")).alias("line")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+
+
 @query("i51_prefixed", "SELECT gloss_id, concat_ws(' ¦ ', law_name, article_section, economy) || ' :: ' || concat_ws(' ', indicator, original, english) AS body FROM gloss_tl")
 def i51(s, d):
     return gloss(s, d).select("gloss_id", text.prefixed([F.col("law_name"), F.col("article_section"), F.col("economy")], F.col("indicator"), F.col("original"), F.col("english")).alias("body"))
