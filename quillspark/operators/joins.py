@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.urls import host, suffixes
+from quillspark.session import broadcast_if_small
 
 
 def merge_by_precedence(frames: Sequence[tuple[str, DataFrame]], key: str, columns: Sequence[str]) -> DataFrame:
@@ -75,3 +76,15 @@ def unique_match(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
     """Pairs whose left row meets exactly one right row."""
     one = right.groupBy(*on).agg(F.min(right_id).alias(right_id), F.count(F.lit(1)).alias("n_")).where("n_ = 1")
     return left.join(one, list(on)).select(left_id, right_id)
+
+
+def prefix_pairs(a: DataFrame, b: DataFrame, by: str, left: str, right: str) -> DataFrame:
+    """Pairs of rows with the same ``by`` (null is a value) where ``left`` and ``right`` are prefixes of each other, either way
+    (O07). Every prefix of one side is looked up in the other, so both directions are joins of equality, for words of any
+    length and scripts without blanks. But for ``by`` the sides share no column; empty strings match nothing."""
+    a, b = a.where(F.length(left) > 0), b.where(F.length(right) > 0).withColumnRenamed(by, "by_")
+    prefixes = lambda df, c: df.withColumn("p_", F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.col(c).substr(F.lit(1), n))))
+    same = F.col(by).eqNullSafe(F.col("by_"))
+    longer = prefixes(b, right).join(broadcast_if_small(a), same & (F.col("p_") == F.col(left)))
+    shorter = prefixes(a, left).join(broadcast_if_small(b), same & (F.col("p_") == F.col(right))).where(F.col(left) != F.col(right))
+    return longer.unionByName(shorter).drop("by_", "p_")

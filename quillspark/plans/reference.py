@@ -537,6 +537,29 @@ def o01(s, d):
     return c.join(amended, "last_amending_instrument").where("published_on < amended").select("portal_id").distinct()
 
 
+_YEAR = r"(?s)^(?:.*[^0-9])?((?:1[89]|20)[0-9]{2})(?:[^0-9]|$)"
+_NUMBER_YEAR = "[/,] *((?:1[89]|20)[0-9]{2})$"
+_LINKAGE = "(^|;)(amending_act|repealing_act|commencement_instrument)(;|$)"
+
+
+@query("o07_prefix_amendments_all", _LISTED + f"""x AS (SELECT economy, unnest([last_amending_instrument, title]) AS amending FROM l),
+a AS (SELECT DISTINCT economy, amending, upper(trim(regexp_extract(amending, '^(.+?) Amendment ', 1))) AS stem, try_cast(nullif(regexp_extract(amending, '{_YEAR}', 1), '') AS INTEGER) AS amended FROM x),
+t AS (SELECT DISTINCT economy, portal_id, upper(trim(title)) AS law, try_cast(coalesce(nullif(regexp_extract(title, '{_YEAR}', 1), ''), nullif(regexp_extract(law_number, '{_NUMBER_YEAR}', 1), '')) AS INTEGER) AS dated FROM l WHERE title NOT LIKE '%Amendment%' AND NOT regexp_matches(coalesce(document_kinds, ''), '{_LINKAGE}')),
+n AS (SELECT a.economy, portal_id, law, dated, amending, amended FROM a JOIN t ON a.economy IS NOT DISTINCT FROM t.economy AND length(stem) > 0 AND length(law) > 0 AND (starts_with(law, stem) OR starts_with(stem, law)) AND dated < amended QUALIFY row_number() OVER (PARTITION BY a.economy, amending ORDER BY dated DESC, portal_id DESC, law DESC) = 1)
+SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY economy, portal_id ORDER BY amended DESC, amending DESC) = 1""")
+def o07_all(s, d):
+    year = lambda c, r: F.nullif(F.regexp_extract(c, r, 1), F.lit(""))
+    c = _listed(s, d, "title", "law_number", "document_kinds", "last_amending_instrument")
+    a = c.select("economy", F.explode(F.array("last_amending_instrument", "title")).alias("amending")).distinct()
+    a = a.select("economy", "amending", F.upper(F.trim(F.regexp_extract("amending", "^(.+?) Amendment ", 1))).alias("stem"), year("amending", _YEAR).cast("int").alias("amended")).where("stem <> '' AND amended IS NOT NULL")
+    laws = c.where(~F.col("title").contains("Amendment") & ~F.coalesce("document_kinds", F.lit("")).rlike(_LINKAGE))
+    laws = laws.select("economy", "portal_id", F.upper(F.trim("title")).alias("law"), F.coalesce(year("title", _YEAR), year("law_number", _NUMBER_YEAR)).cast("int").alias("dated")).where("dated IS NOT NULL").distinct()
+    # years are what both names state; a law of the amendment's own year isn't known to be the older
+    pairs = joins.prefix_pairs(a, laws, "economy", "stem", "law").where("dated < amended").select("economy", "portal_id", "law", "dated", "amending", "amended")
+    newest = ranking.latest(pairs, ["economy", "amending"], ["dated", "portal_id", "law"])
+    return ranking.latest(newest, ["economy", "portal_id"], ["amended", "amending"])
+
+
 @query("o14_staleness", "SELECT host, date_diff('day', max(ts)::DATE, DATE '2026-12-31') AS days, count(*) AS checks FROM crawl_log GROUP BY 1")
 def o14(s, d):
     return crawl(s, d).groupBy("host").agg(F.datediff(F.lit("2026-12-31").cast("date"), F.max("ts").cast("date")).cast("bigint").alias("days"), F.count(F.lit(1)).alias("checks"))

@@ -12,3 +12,19 @@ def test_masked_lines_of_any_length(spark, tmp_path):
     got = Counter({r.line: r.n for r in catalog.QUERIES["i42_masked_lines_all"](spark, str(tmp_path)).collect()})
     assert got == {"Printed under the authority of the Department on page # of #": 3, "Page #": 3}
     assert max(map(len, got)) > 40
+
+
+def test_prefix_amendments_of_every_economy(spark, tmp_path):
+    names = {
+        ("MY", "a", "Wine Act 1970"): "Wine Amendment Act 1999",  # short, and not AU
+        ("MY", "b", "Wine Act 1990"): "Wine Amendment (Fees) Act 2005",  # the newest law before both; the later one holds
+        ("MY", "c", "Wine Act 2010"): None,  # younger than both
+        ("AU", "d", "Timber"): "Timber Parcel Export Amendment Act 1980",  # the law's title is the prefix
+        ("AU", "e", "Wine Act 1960"): "Statute Tidying (Omnibus) Act 2025",
+        ("AU", "f", "Timber Parcel Export Amendment Act 1980"): None,
+    }
+    data = [(i, "2026-03-01", *k, "5/1950" if k[1] == "d" else None, "principal_act", v) for i, (k, v) in enumerate(names.items())]
+    df = spark.createDataFrame(data, "row_id long, snapshot_date string, economy string, portal_id string, title string, law_number string, document_kinds string, last_amending_instrument string")
+    df.selectExpr("*", "timestamp '2026-03-01 00:00:00' AS delivered_at").write.parquet(f"{tmp_path}/law_census.parquet")
+    got = sorted((r.economy, r.portal_id, r.dated, r.amending, r.amended) for r in catalog.QUERIES["o07_prefix_amendments_all"](spark, str(tmp_path)).collect())
+    assert got == [("AU", "D", 1950, "Timber Parcel Export Amendment Act 1980", 1980), ("MY", "B", 1990, "Wine Amendment (Fees) Act 2005", 2005)]
