@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.canonical import LOOK_ALIKES
@@ -266,20 +266,22 @@ def fit(texts: list[str], labels: list[str], sample: int = SAMPLE, cleanings: in
 
 
 def labelled_sample(df: DataFrame, text: str, label: str, per_label: int = 2 * SAMPLE) -> list[tuple[str, str]]:
-    """(text, code) of about ``per_label`` rows of each language whose label names just that one: rows with the lowest
-    hashes, so that no task gathers a language. Labels are counted over all rows first."""
+    """(text, code) of about ``per_label`` texts of each language whose label names just that one: those with the lowest
+    hashes, so that no task gathers a language. Labels are counted over all rows first. A text counts once however often it
+    comes, and each language is bounded by itself, so that neither many copies nor a large language leave others without."""
     spark = df.sparkSession
     rows = df.select(F.col(text).alias("t"), F.col(label).alias("l")).where((F.length("t") > 0) & (F.length("l") > 0))
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(10_000).collect()
-    known = [(r.l, next(iter(c)), r["count"]) for r in counts if len(c := label_languages(r.l)) == 1 and c <= set(LANGUAGES)]
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("t")).alias("texts")).orderBy(F.desc("rows"), "l").limit(10_000).collect()
+    known = [(r.l, next(iter(c)), r.texts) for r in counts if len(c := label_languages(r.l)) == 1 and c <= set(LANGUAGES)]
     total: dict[str, int] = {}
     for _, c, n in known:
         total[c] = total.get(c, 0) + n
     if not known:
         return []
     shares = F.broadcast(spark.createDataFrame([(lab, c, min(1.0, per_label / total[c])) for lab, c, _ in known], "l string, code string, share double"))
-    picked = rows.join(shares, "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    return sorted((r.t, r.code) for r in picked.select("t", "code").limit(3 * per_label * len(LANGUAGES)).collect())
+    picked = rows.join(shares, "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("t", "code").distinct()
+    rank = F.row_number().over(Window.partitionBy("code").orderBy(F.pmod(F.xxhash64("t"), F.lit(1_000_000)), "t"))
+    return sorted((r.t, r.code) for r in picked.withColumn("n_", rank).where(F.col("n_") <= 3 * per_label).collect())
 
 
 def _present(s: Sentences, lang: np.ndarray) -> np.ndarray:

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm.language import LANGUAGES, Sentences, fit, label_languages, labelled_sample, languages, mislabelled, segments
 
@@ -70,3 +73,13 @@ def test_sample_is_bounded(spark):
     n = {c: sum(x == c for _, x in got) for c in ("por", "eng")}
     assert 50 < n["por"] < 200 and 50 < n["eng"] < 200
     assert labelled_sample(df.limit(0), "t", "l") == []
+
+
+def test_sample_with_a_text_in_many_copies(spark):
+    at = F.pmod(F.xxhash64("t"), F.lit(1_000_000))
+    first = spark.range(4000).select(F.concat(F.lit("This provision has number "), "id").alias("t")).orderBy(at).first().t  # its hash is always taken
+    rows = [(first, "en")] * 5000 + [(f"Esta disposição tem o número {i}", "pt") for i in range(40)] + [(f"Peraturan ini bernomor {i}", "id") for i in range(40)]
+    got = Counter(labelled_sample(spark.createDataFrame(rows, "t string, l string").coalesce(1), "t", "l", per_label=10))
+    assert got[(first, "eng")] == 1 and max(got.values()) == 1
+    n = Counter(code for _, code in got)
+    assert set(n) == {"eng", "por", "ind"} and max(n.values()) <= 30
