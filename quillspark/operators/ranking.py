@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +16,14 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], into: str
     return df.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def select_cells(df: DataFrame, cell: Sequence[str], score: str, key: str, theta: Column, floor: Column, ceiling: Column, direct: float = 0.65) -> DataFrame:
+def select_cells(df: DataFrame, cell: Sequence[str], score: str, key: str, theta: Column, floor: Column, ceiling: Column, direct: float = 0.65, sparse: DataFrame | None = None, topup: Column | None = None) -> DataFrame:
     """Threshold selection with floor and ceiling per cell (F01): of R rows, T reach theta; the best
     N = least(ceiling, greatest(T, least(floor, R))) stay, with ``band`` direct or gray and ``bound``, what stopped it:
-    max, min, exhausted or theta. Null scores rank last and never reach theta."""
+    max, min, exhausted or theta. Null scores rank last and never reach theta.
+
+    ``sparse`` is the sparse leg, with ``cell``, ``key`` and ``rank`` from 1: of each cell its first ``topup`` rows (none by
+    default) that aren't chosen yet come after the choice as gray, beyond the ceiling too, also in cells without other
+    rows; their other columns are null. ``floor`` and ``topup`` are read from its rows as well."""
     w = Window.partitionBy(*cell)
     out = ranked(df, cell, [F.desc_nulls_last(score), F.col(key)], "rank")
     out = out.withColumn("t_", F.sum((F.col(score) >= theta).cast("int")).over(w)).withColumn("r_", F.count(F.lit(1)).over(w))
@@ -25,7 +31,18 @@ def select_cells(df: DataFrame, cell: Sequence[str], score: str, key: str, theta
     out = out.withColumn("n_", F.least(ceiling, F.greatest(t, F.least(floor, F.col("r_")))))
     bound = F.when((F.col("r_") > F.col("n_")) & (F.col("n_") == ceiling), "max").when(t < floor, F.when(F.col("r_") < floor, "exhausted").otherwise("min")).otherwise("theta")
     band = F.when((F.col(score) >= theta) & (F.col(score) >= direct), "direct").otherwise("gray")
-    return out.withColumn("band", band).withColumn("bound", bound).where("rank <= n_").drop("t_", "r_", "n_")
+    out = out.withColumn("band", band).withColumn("bound", bound).where("rank <= n_").drop("t_", "r_", "n_")
+    if sparse is None or topup is None:
+        return out
+    empty = F.when(floor > 0, "exhausted").otherwise("theta")
+    more = sparse.where(F.col("rank") <= topup).groupBy(*cell, key).agg(F.min("rank").alias("s_"), F.max(empty).alias("e_")).alias("s")
+    same = reduce(and_, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in cell])
+    more = more.join(out.select(*cell, key).alias("o"), same & (F.col(f"s.{key}") == F.col(f"o.{key}")), "left_anti").alias("s")
+    stop = out.groupBy(*cell).agg(F.max("rank").alias("n_"), F.max("bound").alias("b_")).alias("o")
+    more = more.join(stop, same, "left").select("s.*", "n_", "b_")
+    more = ranked(more, cell, [F.col("s_"), F.col(key)], "k_")
+    more = more.select(*cell, key, (F.coalesce("n_", F.lit(0)) + F.col("k_")).alias("rank"), F.lit("gray").alias("band"), F.coalesce("b_", "e_").alias("bound"))
+    return out.unionByName(more, allowMissingColumns=True)
 
 
 def fuse(legs: Sequence[DataFrame], cell: Sequence[str], key: str, constant: int = 60) -> DataFrame:

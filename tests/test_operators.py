@@ -27,6 +27,15 @@ def test_select_cells_against_a_loop(spark):
     assert got == sorted(want)
 
 
+def test_select_cells_with_sparse_top_up(spark):
+    dense = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.7), ("a", 3, 0.1), (None, 5, 0.9)], "cell string, k long, score double")
+    sparse = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("a", 9, 3), ("b", 7, 1), ("b", 7, 2), (None, 5, 1), (None, 6, 2)], "cell string, k long, rank int")
+    args = (dense, ["cell"], "score", "k", F.lit(0.6), F.lit(1), F.lit(2))
+    got = {tuple(r) for r in ranking.select_cells(*args, sparse=sparse, topup=F.lit(2)).select("cell", "k", "rank", "band", "bound").collect()}
+    assert got == {("a", 1, 1, "direct", "max"), ("a", 2, 2, "direct", "max"), ("a", 3, 3, "gray", "max"), ("b", 7, 1, "gray", "exhausted"), (None, 5, 1, "direct", "theta"), (None, 6, 2, "gray", "theta")}
+    assert ranking.select_cells(*args, sparse=sparse).count() == ranking.select_cells(*args).count() == 3
+
+
 def test_latest_first_and_ties(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 1, "clear"), (None, 5, "n")], "k string, t int, v string")
     assert sorted((r.k or "", r.v) for r in ranking.latest(df, ["k"], ["t"], F.col("v") == "clear").collect()) == [("", "n"), ("a", "z")]
