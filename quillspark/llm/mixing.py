@@ -63,12 +63,14 @@ def tokenized(docs: DataFrame, doc_id: str, source: str, text: str, vocabulary:
 
 @dataclass(frozen=True)
 class Plan:
-    """What the mix takes: per source its blocks, slots and target share; the total of slots."""
+    """What the mix takes: per source its blocks, slots and target share; the total of slots; the source that sets the
+    default total, as it reaches its repeats first."""
 
     sources: tuple[str, ...]
     blocks: tuple[int, ...]
     slots: tuple[int, ...]
     targets: tuple[float, ...]
+    binding: str | None = None
 
     @property
     def total(self) -> int:
@@ -100,7 +102,7 @@ def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], bloc
         slots += step
         if not step.sum():
             break
-    return Plan(tuple(names), tuple(have[s] for s in names), tuple(int(x) for x in slots), tuple(float(x) for x in share))
+    return Plan(tuple(names), tuple(have[s] for s in names), tuple(int(x) for x in slots), tuple(float(x) for x in share), names[int((room / share).argmin())] if total_blocks is None else None)
 
 
 def draw_shards(plan: Plan, shard: int, seed: int) -> np.ndarray:
@@ -181,6 +183,12 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str, doc_id: str = "doc
     task that encoded it (from sums per source and task) plus its place in the task, so no task sorts or holds a source.
     Parts of blocks that the mix takes are shuffled once, by source and block.
     """
+    return mix_and_supply(docs, targets, vocabulary, doc_id, source, text, block, shard, seed, total_blocks)[0]
+
+
+def mix_and_supply(docs: DataFrame, targets: DataFrame, vocabulary: str, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, shard: int = SHARD, seed: int = 1, total_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``mix``, and of each source with tokens and a target ``source, supply, binding``: the tokens of its documents, each
+    counted once, and whether it is the one that sets the default total."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     out = f"shard int, slot long, source string, block long, repeat int, tokens array<int>, doc_ids array<{kind}>"
@@ -194,8 +202,9 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str, doc_id: str = "doc
     sums = cut(coded.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
     tokens = {r.source: r.n for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     plan = plan_mix(tokens, want, block, total_blocks)
+    supply = spark.createDataFrame([(k, int(n), k == plan.binding) for k, n in tokens.items()], "source string, supply long, binding boolean")
     if not plan.total:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], out), supply
     slots = cut(_slots(spark, plan, draw_shards(plan, shard, seed), seed), "slots")
     upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
@@ -212,13 +221,19 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str, doc_id: str = "doc
         .agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "part"))).alias("p"))
         .select("source", "block", F.flatten("p.part").alias("tokens"), F.array_distinct("p.doc_id").alias("doc_ids"))
     )
-    return whole.join(slots, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "tokens", "doc_ids")
+    return whole.join(slots, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "tokens", "doc_ids"), supply
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source of ``targets``: ``source, target_share, tokens, blocks, passes, share`` reached (0 where it gave nothing)."""
-    got = mixed.groupBy("source").agg(F.sum(F.size("tokens").cast("long")).alias("tokens"), F.count(F.lit(1)).alias("blocks"), (F.max("repeat") + 1).alias("passes"))
+def shares(mixed: DataFrame, targets: DataFrame, supply: DataFrame | None = None) -> DataFrame:
+    """Per source of ``targets``: ``source, target_share, tokens, blocks, passes, share`` reached (0 where it gave nothing). With
+    the ``supply`` of ``mix_and_supply`` also ``supply``, ``left_out`` (tokens of it that no slot holds) and ``binding``."""
+    got = mixed.groupBy("source").agg(F.sum(F.when(F.col("repeat") == 0, F.size("tokens").cast("long"))).alias("once"), F.sum(F.size("tokens").cast("long")).alias("tokens"), F.count(F.lit(1)).alias("blocks"), (F.max("repeat") + 1).alias("passes"))
     all_ = got.agg(F.sum("tokens").alias("all_tokens"))
     out = targets.groupBy("source").agg(F.max("target_share").alias("target_share")).join(got, "source", "left").crossJoin(F.broadcast(all_))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select("source", "target_share", zero("tokens"), zero("blocks"), zero("passes"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"))
+    cols = ["source", "target_share", zero("tokens"), zero("blocks"), zero("passes"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share")]
+    if supply is None:
+        return out.select(*cols)
+    # every block that a source gives comes in its first pass
+    left = (F.coalesce("supply", F.lit(0)) - F.coalesce("once", F.lit(0))).alias("left_out")
+    return out.join(supply, "source", "left").select(*cols, zero("supply"), left, F.coalesce("binding", F.lit(False)).alias("binding"))

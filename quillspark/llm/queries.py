@@ -111,8 +111,10 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target share and share reached of each source."""
-    return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """Target share and share reached of each source, its tokens left out, and whether it sets the total."""
+    targets = table(spark, sf_dir, "mix_targets")
+    mixed, supply = mixing.mix_and_supply(table(spark, sf_dir, "documents"), targets, VOCABULARY)
+    return mixing.shares(mixed, targets, supply)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from quillspark.llm.mixing import draw_shards, encoder, mix, permuted, plan_mix, shares
+from quillspark.llm.mixing import draw_shards, encoder, mix, mix_and_supply, permuted, plan_mix, shares
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 needs_vocabulary = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no public vocabulary here")
@@ -71,3 +71,17 @@ def test_empty(spark):
     assert mix(docs.limit(0), targets, VOCABULARY).count() == 0
     assert mix(docs, targets.limit(0), VOCABULARY).count() == 0
     assert mix(docs, targets, VOCABULARY).count() == 1
+
+
+@needs_vocabulary
+def test_left_out_and_binding(spark):
+    rows = [(i, "a", f"alpha text number {i} " * 9) for i in range(60)] + [(100, "b", "beta " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
+    mixed, supply = mix_and_supply(docs, targets, VOCABULARY, block=16, shard=8)
+    rep = {r.source: r for r in shares(mixed, targets, supply).collect()}
+    enc = encoder(VOCABULARY)
+    whole = {s: sum(len(enc.encode_ordinary(r[2])) for r in rows if r[1] == s) for s in "ab"}
+    held = {s: sum({r.block: len(r.tokens) for r in mixed.collect() if r.source == s}.values()) for s in "ab"}
+    assert {s: (rep[s].supply, rep[s].left_out, rep[s].binding) for s in rep} == {"a": (whole["a"], whole["a"] - held["a"], False), "b": (whole["b"], whole["b"] - held["b"], True), "absent": (0, 0, False)}
+    assert rep["a"].left_out > 0
