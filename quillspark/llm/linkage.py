@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import broadcast_if_small, cut
+from quillspark.session import broadcast_if_small, cut, small
 
 #: Issuing bodies as written in Lao and in English.
 BODIES = {"ສພຊ": "NA", "ລບ": "GOV", "ກຕສ": "MTC", "ທຫລ": "BOL", "ອຄ": "MOIC", "ກງ": "MOF"}
@@ -29,15 +29,15 @@ KINDS = (("law", "ກົດໝາຍ"), ("decree", "ດຳລັດ"), ("decisio
 #: Pairs from this posterior on are matches.
 ACCEPT = 0.75
 
-_REF = re.compile(r"(\d{1,5})\s*/\s*([A-Z]{2,6}|[ກ-ໟ]{1,5})")
+_REF = re.compile(r"(\d{1,18})\s*/\s*([A-Z]{2,}|[ກ-ໟ]+)")
 _YEAR = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
 _DMY = re.compile(r"(?<!\d)(\d{1,2})[/-](\d{1,2})[/-]((?:19|20)\d\d)(?!\d)")
 _YMD = re.compile(r"(?<!\d)((?:19|20)\d\d)-(\d{1,2})-(\d{1,2})(?!\d)")
 _WORDED = re.compile(r"(\d{1,2}) (" + "|".join(MONTHS) + r") ((?:19|20)\d\d)", re.I)
 _FILE = re.compile(r"([^/=?#]+)\.(?:pdf|docx?|html?)(?=$|[?#&])", re.I)
 _VIEW = re.compile(r"/view/(\d+)")
-_FILE_DATED = re.compile(r"^(\d{1,5})-(\d{1,2})-(\d{1,2})-((?:19|20)\d\d)_")
-_FILE_BODY = re.compile(r"^(\d{1,5})([ກ-ໟ]{1,5}|[A-Z]{2,6})-((?:19|20)\d\d)-")
+_FILE_DATED = re.compile(r"^(\d{1,18})-(\d{1,2})-(\d{1,2})-((?:19|20)\d\d)_")
+_FILE_BODY = re.compile(r"^(\d{1,18})([ກ-ໟ]+|[A-Z]{2,})-((?:19|20)\d\d)-")
 _FILE_YEAR = re.compile(r"^[a-z]+_((?:19|20)\d\d)_")
 _ENGLISH = re.compile(r"[A-Za-z][A-Za-z ,.()'\-]*")
 _LAO = re.compile(r"[ກ-ໟ][ກ-ໟ ()]*")
@@ -47,7 +47,7 @@ _LAO_MARKS = re.compile("[^ກ-ຮໜໝ]")
 
 #: Blocking passes, as many as ``_keys`` has keys.
 PASSES = 7
-FEATURES = "id long, num int, body string, year int, day int, file string, fnum int, fbody string, fyear int, fday int, en string, lk string, flags int, kind int"
+FEATURES = "id long, num long, body string, year int, day int, file string, fnum long, fbody string, fyear int, fday int, en string, lk string, flags int, kind int"
 
 
 def _date(d, m, y) -> int | None:
@@ -90,8 +90,9 @@ def _kinds() -> tuple[tuple[str, str], ...]:
     return tuple((a, lao_form(b)) for a, b in KINDS)
 
 
-def _longest(pattern: re.Pattern, text: str, least: int) -> str:
-    return max((m for m in pattern.findall(text) if len(m) >= least), key=len, default="")
+def _stretches(pattern: re.Pattern, text: str, least: int) -> str:
+    """All stretches of one script that are long enough to be part of a title; shorter ones are stray letters."""
+    return " ".join(m for m in pattern.findall(text) if len(m) >= least)
 
 
 def features(i, name, number, url, date, notes) -> tuple:
@@ -119,8 +120,8 @@ def features(i, name, number, url, date, notes) -> tuple:
             fyear = int(m[1])
     elif m := _VIEW.search(url):
         file = "view" + m[1]
-    lao = _longest(_LAO, name, 6)
-    english = _longest(_ENGLISH, name, 9)
+    lao = _stretches(_LAO, name, 6)
+    english = _stretches(_ENGLISH, name, 9)
     if not english and (m := _NOTE_TITLE.search(notes)):
         english = m[1]
     if _NONE.search(name):
@@ -152,7 +153,7 @@ def _keys() -> Column:
     # implementing texts begin alike, so their heads are longer
     implements = F.col("flags") >= 2
     head = lambda p, c, n, m: F.when(F.length(c) >= F.when(implements, m).otherwise(n), F.concat(F.lit(p), F.when(implements, F.substring(c, 1, m)).otherwise(F.substring(c, 1, n))))
-    letters = lambda c: F.concat_ws("", F.array_sort(F.split(c, "")))
+    letters = lambda c: F.when(c.isNotNull(), F.concat_ws("", F.array_sort(F.split(c, ""))))
     return F.array(
         F.concat(F.lit("n"), F.col("num").cast("string"), F.lit("/"), F.col("body")),
         F.concat(F.lit("m"), F.coalesce("num", "fnum").cast("string"), F.lit("/"), F.coalesce("year", "fyear").cast("string")),
@@ -210,15 +211,16 @@ def _levels() -> dict[str, Column]:
     viewed = lambda x: x.rlike("^view[0-9]+$")
     file = F.when(r("file").isNull() | b("file").isNull() | (viewed(r("file")) != viewed(b("file"))), 0).when(r("file") == b("file"), 1).otherwise(2)
     flags = F.when((r("en").isNull() & r("lk").isNull()) | (b("en").isNull() & b("lk").isNull()), 0).when(r("flags") == b("flags"), 1).otherwise(2)
-    return {"number": number, "time": time, "title": title, "file": file, "flags": flags}
+    kind = F.when(r("kind").isNull() | b("kind").isNull(), 0).when(r("kind") == b("kind"), 1).otherwise(2)
+    return {"number": number, "time": time, "title": title, "file": file, "flags": flags, "kind": kind}
 
 
 #: Levels of each field, 0 (not comparable) included. Numbers: 1 agree, 5 agree with their year, 2 differ; 3 and 4 the same
 #: for a number against the one in the other's file name.
-SIZES = {"number": 6, "time": 6, "title": 6, "file": 3, "flags": 3}
+SIZES = {"number": 6, "time": 6, "title": 6, "file": 3, "flags": 3, "kind": 3}
 #: Where the rounds start: how often matches, and other pairs that a pass proposes, show each level (from 1 on).
-START = {"number": (0.3, 0.01, 0.15, 0.04, 0.5), "time": (0.4, 0.5, 0.02, 0.02, 0.06), "title": (0.8, 0.1, 0.05, 0.03, 0.02), "file": (0.7, 0.3), "flags": (0.95, 0.05)}
-START_OTHER = {"number": (0.15, 0.6, 0.05, 0.19, 0.01), "time": (0.02, 0.08, 0.1, 0.5, 0.3), "title": (0.1, 0.1, 0.1, 0.3, 0.4), "file": (0.15, 0.85), "flags": (0.6, 0.4)}
+START = {"number": (0.3, 0.01, 0.15, 0.04, 0.5), "time": (0.4, 0.5, 0.02, 0.02, 0.06), "title": (0.8, 0.1, 0.05, 0.03, 0.02), "file": (0.7, 0.3), "flags": (0.95, 0.05), "kind": (0.98, 0.02)}
+START_OTHER = {"number": (0.15, 0.6, 0.05, 0.19, 0.01), "time": (0.02, 0.08, 0.1, 0.5, 0.3), "title": (0.1, 0.1, 0.1, 0.3, 0.4), "file": (0.15, 0.85), "flags": (0.6, 0.4), "kind": (0.6, 0.4)}
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -244,7 +246,23 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np
 
 def _translated(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Rows without an English title get the one that rows with the same Lao title mostly have."""
-    return rows.join(lexicon, "lk", "left").withColumn("en", F.coalesce("en", "en_of")).drop("en_of")
+    known = lexicon.select(F.col("lk").alias("lk_"), "en_of")
+    # rows without a Lao title must not meet in one task
+    at = F.coalesce("lk", F.concat(F.lit("\x00"), F.col("id").cast("string"))) == F.col("lk_")
+    return rows.join(known, at, "left").withColumn("en", F.coalesce("en", "en_of")).drop("en_of", "lk_")
+
+
+def _met(many: DataFrame, one: DataFrame, most_rows: int = 200_000, hot: int = 100_000) -> DataFrame:
+    """Rows of both sides with a key in common. ``one`` is broadcast if it is small; else both are shuffled, and a key with
+    more than ``hot`` rows of ``many`` is split over so many tasks, each with the key's rows of ``one``."""
+    if small(one, most_rows):
+        return many.join(F.broadcast(one), ["pass", "key"])
+    heavy = many.groupBy("pass", "key").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("parts")).where("parts > 1")
+    heavy = broadcast_if_small(cut(heavy, "hot"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = many.join(heavy, ["pass", "key"], "left").withColumn("part", F.pmod(F.xxhash64("r.id"), parts).cast("int")).drop("parts")
+    right = one.join(heavy, ["pass", "key"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["pass", "key", "part"]).drop("part")
 
 
 def link(records: DataFrame, entries: DataFrame) -> DataFrame:
@@ -267,15 +285,13 @@ def link(records: DataFrame, entries: DataFrame) -> DataFrame:
     b = _translated(entries, lexicon).withColumn("keys", _keys())
     explode = lambda x, name: x.select(F.struct(*x.columns).alias(name), F.posexplode("keys").alias("pass", "key")).where("key IS NOT NULL")
     one, many = explode(b, "b"), explode(r, "r")
-    met = many.join(broadcast_if_small(one), ["pass", "key"])
+    met = _met(many, one)
     same = lambda k: F.coalesce(F.col("r.keys")[k] == F.col("b.keys")[k], F.lit(False))
     earlier = reduce(lambda acc, k: acc | (F.lit(k) < F.col("pass")) & same(k), range(PASSES), F.lit(False))
     levels = _levels()
     code = reduce(lambda acc, f: acc * SIZES[f] + levels[f], SIZES, F.lit(0))
-    shown = lambda side: F.struct(F.col(f"{side}.num"), F.col(f"{side}.body"), F.coalesce(f"{side}.year").alias("year"))
-    # another kind, or another year of issue, is another instrument, whatever else they share
-    alike = reduce(lambda acc, c: acc & F.coalesce(F.col(f"r.{c}") == F.col(f"b.{c}"), F.lit(True)), ("kind", "year"), F.lit(True))
-    pairs = met.where(~earlier & alike).select(F.col("b.id").alias("entry_id"), F.col("r.id").alias("record_id"), code.cast("int").alias("code"), shown("b").alias("said"))
+    shown = lambda side: F.struct(F.col(f"{side}.num"), F.col(f"{side}.body"), F.col(f"{side}.year"), F.col(f"{side}.kind"))
+    pairs = met.where(~earlier).select(F.col("b.id").alias("entry_id"), F.col("r.id").alias("record_id"), code.cast("int").alias("code"), shown("b").alias("said"), shown("r").alias("own"))
     pairs = cut(pairs, "pairs")
     found = pairs.groupBy("code").count().toPandas()
     schema = "code int, confidence double"
@@ -289,7 +305,9 @@ def link(records: DataFrame, entries: DataFrame) -> DataFrame:
     else:
         table = spark.createDataFrame([], schema)
     scored = pairs.join(F.broadcast(table), "code").where(F.col("confidence") >= ACCEPT)
+    # exact check: another kind, or another stated year of issue, is another instrument
+    agree = lambda one, other, cs: reduce(lambda acc, c: acc & F.coalesce(F.col(f"{one}.{c}") == F.col(f"{other}.{c}"), F.lit(True)), cs, F.lit(True))
+    scored = scored.where(agree("said", "own", ("kind", "year")))
     # one record is one instrument: what contradicts its best entry in number, body or year goes
     best = F.max_by("said", F.struct("confidence", F.col("said.num").isNotNull(), F.col("said.year").isNotNull(), -F.col("entry_id"))).over(Window.partitionBy("record_id"))
-    fits = reduce(lambda acc, c: acc & F.coalesce(F.col(f"said.{c}") == F.col(f"best.{c}"), F.lit(True)), ("num", "body", "year"), F.lit(True))
-    return scored.withColumn("best", best).where(fits).select("entry_id", "record_id", "confidence")
+    return scored.withColumn("best", best).where(agree("said", "best", ("num", "body", "year"))).select("entry_id", "record_id", "confidence")

@@ -27,8 +27,8 @@ def test_files_and_titles():
 def test_fit_separates():
     fields = list(SIZES)
     good = [1 if f != "file" else 2 for f in fields]
-    bad = [2, 4, 5, 2, 2]
-    post, _ = fit(np.array([good, bad, [0] * 5]), np.array([300.0, 700.0, 50.0]))
+    bad = [2, 4, 5, 2, 2, 2]
+    post, _ = fit(np.array([good, bad, [0] * 6]), np.array([300.0, 700.0, 50.0]))
     assert post[0] > 0.95 and post[1] < 0.05 and 0.1 < post[2] < 0.6
 
 
@@ -59,3 +59,28 @@ def test_link(spark):
     assert not [p for p in got if p[1] >= 9000 or p[1] < 2000 and p not in first]
     assert not [p for p in got if 3000 <= p[1] < 4000]
     assert link(r.limit(0), b).count() == 0 and link(r, b.limit(0)).count() == 0
+
+
+def test_no_key_of_missing_titles(spark):
+    from quillspark.llm.linkage import _keys
+
+    schema = "id long, n string, r string, u string, d string, t string"
+    rows = featured(spark.createDataFrame([(1, None, "7/MOF", None, None, None), (2, "ກົດໝາຍວ່າດ້ວຍການນຳໃຊ້", None, None, None, None)], schema), "id", "n", "r", "u")
+    keys = {r.id: [k for k in r.k if k is not None] for r in rows.select("id", _keys().alias("k")).collect()}
+    assert keys[1] == ["n7/MOF"] and all(k[0] in "lp" for k in keys[2])
+
+
+def test_long_numbers_and_bodies():
+    f = features(1, "x", "No. 1234567/ABCDEFGH dated 5 May 2011", None, None, None)
+    assert f[F["num"]] == 1234567 and f[F["body"]] == "ABCDEFGH"
+    f = features(1, "ກົດໝາຍວ່າດ້ວຍ 7 ການນຳໃຊ້ດິນ", None, None, None, None)
+    assert f[F["lk"]] == lao_form("ກົດໝາຍວ່າດ້ວຍການນຳໃຊ້ດິນ")
+
+
+def test_hot_keys_are_split(spark):
+    from quillspark.llm.linkage import _met
+
+    many = spark.createDataFrame([((i,), 0, "k" if i % 3 else f"x{i}") for i in range(60)], "r struct<id long>, pass int, key string")
+    one = spark.createDataFrame([((i,), 0, "k" if i < 4 else f"x{i}") for i in range(30)], "b struct<id long>, pass int, key string")
+    pairs = lambda df: sorted((x.r.id, x.b.id) for x in df.select("r", "b").collect())
+    assert pairs(_met(many, one)) == pairs(_met(many, one, most_rows=0, hot=7)) and len(pairs(_met(many, one))) > 160
