@@ -8,25 +8,23 @@ are joined by number.
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import broadcast_if_small, cut
 
-#: Tokens of a block; slots of a shard (take so many that the shards number some ten thousand at most: each is drawn on the
-#: driver, as a count per source).
+#: Tokens of a block; slots of a shard.
 BLOCK, SHARD = 1024, 512
+#: Letters of a bucket: a source's stream is cut into buckets of about so many, each packed by itself in one task.
+BUCKET = 1_000_000
 #: Fixed value: what splits text before byte pairs are merged, for byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: More sources than this are an error: the plan of the mix is made on the driver, per source.
-MOST_SOURCES = 10_000
 
 _encoders: dict[str, object] = {}
 
@@ -42,23 +40,68 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def tokenized(docs: DataFrame, doc_id: str, source: str, text: str, vocabulary: str) -> DataFrame:
-    """``doc_id, source, tokens, n, part, before`` of every document with a source and at least one token: its tokens
-    and their number, the task that encoded it, and how many tokens of the same source came before it in that task."""
+def packed(docs: DataFrame, doc_id: str, source: str, text: str, vocabulary: str, block: int = BLOCK, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """``source, bucket, local, tokens, doc_ids``: the blocks of every source, numbered from 0 within a bucket, of the
+    documents with a source and a text.
+
+    A document's bucket and its place in it follow from a hash of its id and the seed, so the blocks are the same however
+    the rows are split over files and tasks. Texts are shuffled once, by source and bucket; a source of any size has buckets
+    of one size. The last block of a bucket may be shorter."""
     kind = docs.schema[doc_id].dataType.simpleString()
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("x")).where((F.length("x") > 0) & (F.length("source") > 0))
+    sizes = src.groupBy("source").agg(F.ceil(F.sum(F.length("x")) / bucket).alias("buckets"))
+    src = src.join(broadcast_if_small(cut(sizes, "sizes")), "source").withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod(F.xxhash64("h"), F.col("buckets")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = src.repartition(tasks, "source", "bucket").sortWithinPartitions("source", "bucket", "h", "doc_id", F.xxhash64("x"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc, out = encoder(vocabulary), []
+        at, local, tokens, spans = None, 0, [], []  # of the open bucket: blocks so far, tokens left, and the documents they are of
+
+        def fill(least: int) -> None:
+            nonlocal local, tokens, spans
+            p = k = 0
+            while len(tokens) - p >= least and p < len(tokens):
+                while spans[k][2] <= p:
+                    k += 1
+                inside = dict.fromkeys(x[0] for x in takewhile(lambda x: x[1] < p + block, islice(spans, k, None)))
+                out.append((*at, local, tokens[p : p + block], list(inside)))
+                local, p = local + 1, p + block
+            tokens, spans = tokens[p:], [(d, max(0, start - p), end - p) for d, start, end in spans if end > p]
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         for b in batches:
-            tokens = [enc.encode_ordinary(t) for t in b["x"]]
-            before = []
-            for s, t in zip(b["source"], tokens):
-                before.append(seen[s])
-                seen[s] += len(t)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"].astype(object), "tokens": pd.Series(tokens, dtype=object, index=b.index), "n": [len(t) for t in tokens], "part": part, "before": before})
-
-    return src.mapInPandas(encode, f"doc_id {kind}, source string, tokens array<int>, n long, part int, before long").where("n > 0")
+            for d, s, k, t in zip(b["doc_id"], b["source"], b["bucket"], enc.encode_ordinary_batch(b["x"].tolist(), num_threads=1)):
+                if (s, k) != at:
+                    if at:
+                        fill(1)
+                    at, local, tokens, spans = (s, k), 0, [], []
+                if t:
+                    spans.append((d, len(tokens), len(tokens) + len(t)))
+                    tokens += t
+                    if len(tokens) >= block:
+                        fill(block)
+            if len(out) > 500:
+                yield _frame(out)
+                out = []
+        if at:
+            fill(1)
+        yield _frame(out)
+
+    return src.select("doc_id", "source", "bucket", "x").mapInPandas(pack, f"source string, bucket long, local long, tokens array<int>, doc_ids array<{kind}>")
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["source", "bucket", "local", "tokens", "doc_ids"]).astype({"bucket": "int64", "local": "int64"}) if rows else pd.DataFrame({"source": pd.Series([], dtype=object), "bucket": pd.Series([], dtype="int64"), "local": pd.Series([], dtype="int64"), "tokens": pd.Series([], dtype=object), "doc_ids": pd.Series([], dtype=object)})
+
+
+def _firsts(blocks: DataFrame, group: int = 1024) -> DataFrame:
+    """``source, bucket, first``: the number of the first block of each bucket in its source. Sums run within groups of
+    buckets and over the groups, so no task has all buckets of a source."""
+    n = cut(blocks.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.floor(F.col("bucket") / group)), "buckets")
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = n.groupBy("source", "g").agg(F.sum("n").alias("n")).select("source", "g", F.coalesce(F.sum("n").over(before("source", "g")), F.lit(0)).alias("base"))
+    inner = n.select("source", "bucket", "g", F.coalesce(F.sum("n").over(before("source", "g", "bucket")), F.lit(0)).alias("own"))
+    return inner.join(broadcast_if_small(groups), ["source", "g"]).select("source", "bucket", (F.col("base") + F.col("own")).alias("first"))
 
 
 @dataclass(frozen=True)
@@ -77,12 +120,12 @@ class Plan:
         return sum(self.slots)
 
 
-def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], block: int, total_blocks: int | None = None) -> Plan:
-    """Slots per source. Sources without tokens, share or permission to appear give nothing; the shares of the others
+def plan_mix(blocks: dict[str, int], targets: dict[str, tuple[float, int]], total_blocks: int | None = None) -> Plan:
+    """Slots per source with ``blocks`` blocks. Sources without blocks, share or permission to appear give nothing; the shares of the others
     are scaled to 1. The default total is the greatest at which each of them can have its share without appearing more
     often than allowed; with a greater ``total_blocks`` the sources that run out stop there, and the rest is shared by
     the others as far as they reach."""
-    have = {s: -(-tokens[s] // block) for s, (share, most) in targets.items() if tokens.get(s, 0) > 0 and share > 0 and most > 0}
+    have = {s: blocks[s] for s, (share, most) in targets.items() if blocks.get(s, 0) > 0 and share > 0 and most > 0}
     names = sorted(have)
     room = np.array([have[s] * targets[s][1] for s in names], np.int64)
     share = np.array([targets[s][0] for s in names], float)
@@ -105,21 +148,26 @@ def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], bloc
     return Plan(tuple(names), tuple(have[s] for s in names), tuple(int(x) for x in slots), tuple(float(x) for x in share), names[int((room / share).argmin())] if total_blocks is None else None)
 
 
-def draw_shards(plan: Plan, shard: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard (shards x sources): a multinomial draw by what the plan has left of each
-    source. What a draw takes beyond that goes to the sources with most left, so the totals stay exact."""
-    left = np.array(plan.slots, np.int64)
-    rng = np.random.default_rng(seed)
-    out = []
-    while (rest := int(left.sum())) > 0:
-        size = min(shard, rest)
-        drawn = np.minimum(rng.multinomial(size, left / rest), left)
+def draw(slots: np.ndarray, total: int, shard: int, number: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source in shard ``number`` and in all shards before it, of ``slots`` per source and ``total`` in all.
+
+    The shards are halved again and again; each half draws its share of the slots by a multinomial of what its parent has
+    of each source, from a seed of its own, and the other half has the rest. So every task finds the draw of any shard by
+    itself, all agree, and the totals are exact. What a draw takes beyond a source's slots goes to those with most left."""
+    lo, hi = 0, -(-total // shard)
+    have, before = np.asarray(slots, np.int64), np.zeros(len(slots), np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        size = (mid - lo) * shard
+        drawn = np.minimum(np.random.default_rng([seed, lo, hi]).multinomial(size, have / have.sum()), have)
         while (short := size - int(drawn.sum())) > 0:
-            k = int((left - drawn).argmax())
-            drawn[k] += min(short, int(left[k] - drawn[k]))
-        out.append(drawn)
-        left = left - drawn
-    return np.array(out, np.int64).reshape(-1, len(plan.sources))
+            k = int((have - drawn).argmax())
+            drawn[k] += min(short, int(have[k] - drawn[k]))
+        if number < mid:
+            hi, have = mid, drawn
+        else:
+            lo, have, before = mid, have - drawn, before + drawn
+    return have, before
 
 
 def permuted(n: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -145,33 +193,32 @@ def permuted(n: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(spark, plan: Plan, drawn: np.ndarray, seed: int) -> DataFrame:
-    """``source, block, shard, slot, repeat``: one row per slot. Only the draw per shard and source is shipped; slots
-    are made where they are needed."""
-    before, size = np.cumsum(drawn, axis=0) - drawn, drawn.sum(axis=1)
-    rows = [(int(j), plan.sources[k], int(plan.blocks[k]), int(before[j, k]), int(drawn[j, k]), int(drawn[j, :k].sum()), int(size[j]), k) for j in range(len(drawn)) for k in range(len(plan.sources)) if drawn[j, k]]
-    shards = spark.createDataFrame(rows, "shard int, source string, blocks long, first long, n long, at long, size long, k int")
+def _slots(spark, plan: Plan, shard: int, seed: int) -> DataFrame:
+    """``source, block, shard, slot, repeat``: one row per slot. Shards are numbers; tasks draw and fill them by themselves."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = np.array(plan.slots, np.int64)
         for b in batches:
-            for r in b.itertuples(index=False):
-                number = np.arange(r.first, r.first + r.n)
-                repeat = number // r.blocks
+            for j in b["id"].tolist():
+                drawn, before = draw(slots, plan.total, shard, j, seed)
+                k = np.repeat(np.arange(len(drawn)), drawn)
+                number = before[k] + np.arange(len(k)) - (np.cumsum(drawn) - drawn)[k]
+                blocks = np.array(plan.blocks, np.int64)[k]
+                repeat = number // blocks
                 with np.errstate(over="ignore"):
-                    key = np.full(r.n, seed, np.uint64) * np.uint64(1_000_003) + np.uint64(r.k) * np.uint64(8191) + repeat.astype(np.uint64)
-                block = permuted(number % r.blocks, np.full(r.n, r.blocks), key)
+                    key = np.full(len(k), seed, np.uint64) * np.uint64(1_000_003) + k.astype(np.uint64) * np.uint64(8191) + repeat.astype(np.uint64)
                 # within a shard the sources are shuffled
-                slot = np.random.default_rng([seed, r.shard]).permutation(r.size)[r.at : r.at + r.n]
-                yield pd.DataFrame({"source": r.source, "block": block, "shard": r.shard, "slot": slot.astype(np.int64), "repeat": repeat.astype(np.int32)})
+                slot = np.random.default_rng([seed, j]).permutation(len(k)).astype(np.int64)
+                yield pd.DataFrame({"source": np.array(plan.sources, object)[k], "block": permuted(number % blocks, blocks, key), "shard": np.full(len(k), j, np.int64), "slot": slot, "repeat": repeat.astype(np.int32)})
 
-    return shards.repartition(max(1, min(len(rows), 200))).mapInPandas(fill, "source string, block long, shard int, slot long, repeat int")
+    return spark.range(-(-plan.total // shard)).mapInPandas(fill, "source string, block long, shard long, slot long, repeat int")
 
 
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, shard: int = SHARD, seed: int = 1, total_blocks: int | None = None) -> DataFrame:
     """The mix, a row per slot: ``shard, slot, source, block, repeat, tokens, doc_ids``.
 
     ``targets`` has ``source, target_share, max_repeats``. ``tokens`` is the block's part of the source's stream (the
-    last block of a source may be shorter), ``doc_ids`` the documents it has parts of, ``repeat`` counts from 0 how often
+    last block of a bucket may be shorter), ``doc_ids`` the documents it has parts of, ``repeat`` counts from 0 how often
     the block came before. A block comes once in each pass over its source and there are at most max_repeats passes, so
     no document appears more often. Shares are those of the slots, exact but for rounding to blocks.
 
@@ -179,9 +226,12 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str, doc_id: str = "doc
     documents leave their share to the others. A source stated twice counts with its greatest share. Empty tables give an
     empty mix. Repeated doc_ids are documents of their own.
 
-    Plan: one pass encodes the texts and is written as a table. A document's place in its source's stream is that of the
-    task that encoded it (from sums per source and task) plus its place in the task, so no task sorts or holds a source.
-    Parts of blocks that the mix takes are shuffled once, by source and block.
+    The same rows, seed and vocabulary give the same mix, however the rows are split over files and tasks. Rows that
+    repeat an id with another text are ordered by a hash of the text.
+
+    Plan: texts are shuffled once by source and bucket, encoded and packed there, and the blocks written as a table. Slots
+    are made in tasks, from the shard's number; the driver holds one number per source. Blocks meet their slots by index:
+    the slots are broadcast if they are few, else both sides are shuffled by source and block.
     """
     return mix_and_supply(docs, targets, vocabulary, doc_id, source, text, block, shard, seed, total_blocks)[0]
 
@@ -191,37 +241,20 @@ def mix_and_supply(docs: DataFrame, targets: DataFrame, vocabulary: str, doc_id:
     counted once, and whether it is the one that sets the default total."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = f"shard int, slot long, source string, block long, repeat int, tokens array<int>, doc_ids array<{kind}>"
-    wanted = targets.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).limit(MOST_SOURCES + 1).collect()
-    if len(wanted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    out = f"shard long, slot long, source string, block long, repeat int, tokens array<int>, doc_ids array<{kind}>"
+    wanted = targets.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).collect()
     want = {r.source: (r.t.target_share or 0.0, r.t.max_repeats or 0) for r in wanted if r.source}
-    known = F.broadcast(spark.createDataFrame([(s,) for s in want], "source string"))
-    coded = tokenized(docs.join(known.withColumnRenamed("source", "s_"), F.col(source) == F.col("s_"), "left_semi"), doc_id, source, text, vocabulary)
-    coded = cut(coded, "coded")
-    sums = cut(coded.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
-    tokens = {r.source: r.n for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    plan = plan_mix(tokens, want, block, total_blocks)
-    supply = spark.createDataFrame([(k, int(n), k == plan.binding) for k, n in tokens.items()], "source string, supply long, binding boolean")
+    known = broadcast_if_small(spark.createDataFrame([(s,) for s in want], "s_ string"))
+    blocks = cut(packed(docs.join(known, F.col(source) == F.col("s_"), "left_semi"), doc_id, source, text, vocabulary, block, seed), "blocks")
+    sums = blocks.groupBy("source").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("tokens").cast("long")).alias("tokens")).collect()
+    plan = plan_mix({r.source: r.blocks for r in sums}, want, total_blocks)
+    supply = spark.createDataFrame([(r.source, r.tokens, r.source == plan.binding) for r in sums], "source string, supply long, binding boolean")
     if not plan.total:
         return spark.createDataFrame([], out), supply
-    slots = cut(_slots(spark, plan, draw_shards(plan, shard, seed), seed), "slots")
-    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
-    placed = coded.join(broadcast_if_small(cut(starts, "starts")), ["source", "part"]).withColumn("start", F.col("start") + F.col("before"))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n") - 1) / block)
-    parts = placed.select("source", "doc_id", "start", "n", "tokens", F.explode(F.sequence(first, last)).alias("block"))
-    a = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    b = F.least((F.col("block") + 1) * block - F.col("start"), F.col("n"))
-    parts = parts.select("source", "block", "start", "doc_id", F.slice("tokens", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
-    taken = broadcast_if_small(slots.select("source", "block").distinct(), 1_000_000)
-    whole = (
-        parts.join(taken, ["source", "block"], "left_semi")
-        .groupBy("source", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "part"))).alias("p"))
-        .select("source", "block", F.flatten("p.part").alias("tokens"), F.array_distinct("p.doc_id").alias("doc_ids"))
-    )
-    return whole.join(slots, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "tokens", "doc_ids"), supply
+    numbered = blocks.join(broadcast_if_small(cut(_firsts(blocks), "firsts")), ["source", "bucket"])
+    numbered = numbered.select("source", (F.col("first") + F.col("local")).alias("block"), "tokens", "doc_ids")
+    slots = broadcast_if_small(_slots(spark, plan, shard, seed))
+    return numbered.join(slots, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "tokens", "doc_ids"), supply
 
 
 def shares(mixed: DataFrame, targets: DataFrame, supply: DataFrame | None = None) -> DataFrame:

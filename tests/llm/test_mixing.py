@@ -4,7 +4,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from quillspark.llm.mixing import draw_shards, encoder, mix, mix_and_supply, permuted, plan_mix, shares
+from quillspark.llm.mixing import _firsts, draw, encoder, mix, mix_and_supply, packed, permuted, plan_mix, shares
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 needs_vocabulary = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no public vocabulary here")
@@ -19,20 +19,54 @@ def test_permuted_is_a_permutation():
 
 
 def test_plan_exact_shares_and_caps():
-    p = plan_mix({"a": 100_000, "b": 20_000, "c": 5_000, "gone": 0}, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.1, 1), "gone": (0.1, 3), "x": (0.2, 0)}, 10)
+    p = plan_mix({"a": 10_000, "b": 2_000, "c": 500, "gone": 0}, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.1, 1), "gone": (0.1, 3), "x": (0.2, 0)})
     assert p.sources == ("a", "b", "c") and p.total == int(min(10_000 / (0.5 / 0.9), 4_000 / (0.3 / 0.9), 500 / (0.1 / 0.9)))
     for k, s in enumerate((0.5, 0.3, 0.1)):
         assert abs(p.slots[k] - p.total * s / 0.9) <= 1
-    big = plan_mix({"a": 1000, "b": 1000}, {"a": (0.9, 1), "b": (0.1, 1)}, 10, total_blocks=150)
+    big = plan_mix({"a": 100, "b": 100}, {"a": (0.9, 1), "b": (0.1, 1)}, total_blocks=150)
     assert big.slots == (100, 50)
-    assert plan_mix({}, {"a": (1.0, 1)}, 10).total == 0
+    assert plan_mix({}, {"a": (1.0, 1)}).total == 0
 
 
 def test_draws_add_up():
-    p = plan_mix({"a": 100_000, "b": 20_000}, {"a": (0.8, 1), "b": (0.2, 2)}, 10)
-    d = draw_shards(p, 64, 3)
-    assert tuple(d.sum(axis=0)) == p.slots and (d.sum(axis=1)[:-1] == 64).all() and (d >= 0).all()
-    assert 0.6 < d[:50, 0].sum() / d[:50].sum() < 0.95
+    p = plan_mix({"a": 10_000, "b": 2_000}, {"a": (0.8, 1), "b": (0.2, 2)})
+    d = [draw(np.array(p.slots), p.total, 64, j, 3) for j in range(-(-p.total // 64))]
+    own, before = np.array([x for x, _ in d]), np.array([x for _, x in d])
+    assert tuple(own.sum(axis=0)) == p.slots and (own.sum(axis=1)[:-1] == 64).all() and (own >= 0).all()
+    assert (before == np.cumsum(own, axis=0) - own).all()
+    assert 0.6 < own[:50, 0].sum() / own[:50].sum() < 0.95 and len({tuple(x) for x in own}) > 5
+
+
+def test_many_shards_of_many_sources():
+    slots = np.full(20_000, 10**9)  # more sources and slots than any list of draws could hold
+    own, before = draw(slots, int(slots.sum()), 512, 30_000_000_000, 1)
+    assert own.sum() == 512 and 0 <= before.min() and before.sum() == 512 * 30_000_000_000
+
+
+@needs_vocabulary
+def test_same_mix_however_rows_are_split(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], f"text {i} says {'more ' * (i % 37)}", i) for i in range(300)], "doc_id long, source string, text string, slot int")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 2)], "source string, target_share double, max_repeats int")
+    got = [sorted(map(str, mix(docs.repartition(n), targets, VOCABULARY, block=16, shard=8).collect())) for n in (3, 7)]
+    assert got[0] == got[1] and len(got[0]) > 50
+
+
+@needs_vocabulary
+def test_buckets(spark):
+    docs = spark.createDataFrame([(i, "a", f"text {i} says {'more ' * (i % 37)}") for i in range(200)] + [(7, "a", "again " * 5000)], "doc_id long, source string, text string")
+    blocks = packed(docs, "doc_id", "source", "text", VOCABULARY, block=16, bucket=500)
+    enc = encoder(VOCABULARY)
+    rows = blocks.collect()
+    assert Counter(t for r in rows for t in r.tokens) == Counter(t for r in docs.collect() for t in enc.encode_ordinary(r.text))
+    of = {r.doc_id: enc.encode_ordinary(r.text) for r in docs.collect() if r.doc_id != 7}
+    for r in rows:
+        assert 0 < len(r.tokens) <= 16 and r.doc_ids
+        if len(r.doc_ids) == 1 and r.doc_ids[0] != 7:
+            assert str(r.tokens)[1:-1] in str(of[r.doc_ids[0]])
+    whole = {d for d, t in of.items() if t}
+    assert {d for r in rows for d in r.doc_ids} == whole | {7}
+    numbers = [(f.first + r.local) for r in rows for f in [next(f for f in firsts if f.bucket == r.bucket)]] if (firsts := _firsts(blocks, group=3).collect()) else []
+    assert sorted(numbers) == list(range(len(rows))) and len(firsts) > 20
 
 
 @needs_vocabulary
