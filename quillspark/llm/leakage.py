@@ -1,8 +1,9 @@
 """Evaluation passages inside a training corpus.
 
-Method: pigeonhole edit matching. A passage of ``run`` letters with an error budget of e is split into e + 1 pieces; an
-occurrence within the budget holds at least one piece unchanged. Pieces are found by one automaton for all items, each
-hit is verified with Myers' bit-parallel edit distance, and a case is then checked exactly.
+Method: pigeonhole edit matching. A passage is any ``run`` letters in a row of an item (all of it, if it is shorter). Items
+are split into pieces so short that a passage holds one more of them than the error budget: an occurrence within the
+budget leaves at least one piece unchanged. Pieces are found by one automaton for all items, and around each hit the
+passage is placed and verified with Myers' bit-parallel edit distance, which must not exceed the budget.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Items are searched for in blocks of at most this many characters (each block in one pass over the documents), so that
 #: the broadcast pieces and the automaton have a bound.
 BLOCK_CHARS = 20_000_000
 
+#: Items of fewer letters are too short to be recognised and aren't searched for; ``searched`` in the report says so.
+LEAST_LETTERS = 30
+
 _REST = re.compile(r"[\W_]+")
 _ASCII_REST = bytes(c for c in range(128) if not chr(c).isalnum())
 
@@ -58,11 +63,30 @@ def myers(pattern: str, text: str) -> int:
     return best
 
 
+def piece_size(length: int, run: int, budget: int) -> int:
+    """Letters of a piece: any passage of an item of ``length`` letters holds budget + 1 whole pieces."""
+    return (min(run, length) + 1) // (budget + 2)
+
+
 def pieces_of(text: str, size: int) -> list[tuple[int, str]]:
     """The consecutive pieces of ``size`` letters with their places; a shorter rest belongs to no piece."""
     return [(o, text[o : o + size]) for o in range(0, len(text) - size + 1, size)]
 
 
+def reach(item: str, doc: str, i: int, d: int, step: int, edits: int) -> int:
+    """Letters of ``item`` from ``i`` on (backwards if ``step`` is -1) that agree with ``doc`` from ``d`` on within ``edits``."""
+    n = 0
+    while 0 <= i + n * step < len(item) and 0 <= d + n * step < len(doc) and item[i + n * step] == doc[d + n * step]:
+        n += 1
+    if not edits or not 0 <= i + n * step < len(item):
+        return n
+    i, d = i + n * step, d + n * step
+    other = reach(item, doc, i + step, d + step, step, edits - 1) + 1  # another letter
+    more = reach(item, doc, i, d + step, step, edits - 1)  # a letter too many
+    less = reach(item, doc, i + step, d, step, edits - 1) + 1  # a letter missing
+    return n + max(other, more, less)
+
+
 def exact_run(doc: str, item: str, at: int, o: int) -> int:
     """Letters in which both agree around ``doc[at] == item[o]``, without a gap."""
     a = b = 0
@@ -79,65 +103,74 @@ class Finder:
     def __init__(self, items: list[tuple[int, str]], run: int, budget: int) -> None:
         import ahocorasick
 
-        self.run, self.size = run, run // (budget + 1)
+        self.run, self.budget = run, budget
         self.items = dict(items)
         self.where: dict[str, list[tuple[int, int]]] = {}
         for i, text in self.items.items():
-            for o, piece in pieces_of(text, self.size):
-                self.where.setdefault(piece, []).append((i, o))
+            if len(text) >= LEAST_LETTERS:
+                for o, piece in pieces_of(text, piece_size(len(text), run, budget)):
+                    self.where.setdefault(piece, []).append((i, o))
         self.automaton = ahocorasick.Automaton()
         for piece in self.where:
             self.automaton.add_word(piece, piece)
         if self.where:
             self.automaton.make_automaton()
 
-    def __call__(self, doc: str) -> list[tuple[int, int, int]]:
-        """(item, longest exact run, least distance of the passage around a hit) of each item that may be in ``doc``.
-
-        A hit stands for the window of the item in which any run of ``self.run`` letters around the piece lies. Such a
-        run leaves at most window - run letters to delete, so a greater distance proves that there is none."""
-        if not self.where or len(doc) < self.size:
+    def passage(self, item: str, doc: str, o: int, at: int, size: int) -> tuple[int, int, int]:
+        """(start, letters, distance) of the longest passage of ``item`` around a piece at ``o`` that stands around
+        ``doc[at]`` within the budget; the distance is Myers' and exceeds the budget if there is no such passage."""
+        best = (0, 0, self.budget + 1)
+        for left in range(self.budget + 1):
+            a = reach(item, doc, o - 1, at - 1, -1, left)
+            b = reach(item, doc, o + size, at + size, 1, self.budget - left)
+            if a + size + b > best[1]:
+                window, spare = item[o - a : o + size + b], self.budget
+                distance = myers(window, doc[max(0, at - a - spare) : at + size + b + spare])
+                if distance <= self.budget:
+                    best = (o - a, a + size + b, distance)
+        return best
+
+    def __call__(self, doc: str) -> list[tuple[int, int, int, int]]:
+        """(item, longest exact run, letters of the longest passage within the budget, its distance) of each item of which
+        ``doc`` holds a passage."""
+        if not self.where:
             return []
         seen: dict[tuple[int, int], int] = {}
-        best: dict[int, tuple[int, int]] = {}
-        reach = self.run - self.size
+        best: dict[int, tuple[int, int, int]] = {}
         for end, piece in self.automaton.iter(doc):
-            at = end - self.size + 1
+            size = len(piece)
+            at = end - size + 1
             for i, o in self.where[piece]:
                 if seen.get((i, at - o), -1) >= at:  # inside a run that has been followed already
                     continue
                 item = self.items[i]
-                window = item[max(0, o - reach) : o + self.run]
-                around = doc[max(0, at - 2 * reach) : at + self.run + reach]
-                distance = myers(window, around)
-                if distance > len(window) - self.run:
-                    continue
                 n = exact_run(doc, item, at, o)
-                follow = at
-                while follow - at + o + 1 < len(item) and follow + 1 < len(doc) and doc[follow + 1] == item[follow + 1 - at + o]:
-                    follow += 1
-                seen[i, at - o] = follow
-                old = best.get(i, (0, 1 << 30))
-                best[i] = max(old[0], n), min(old[1], distance)
-        return [(i, n, d) for i, (n, d) in best.items()]
+                seen[i, at - o] = at + reach(item, doc, o, at, 1, 0) - 1
+                _, letters_, distance = self.passage(item, doc, o, at, size)
+                if distance > self.budget or letters_ < min(self.run, len(item)):
+                    continue
+                old = best.get(i, (0, 0, 0))
+                best[i] = (max(old[0], n), *max((old[1], old[2]), (letters_, distance), key=lambda x: (x[0], -x[1])))
+        return [(i, *found) for i, found in best.items()]
 
 
 _finders: dict[str, Finder] = {}
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, run: int = 70, budget: int = 1) -> DataFrame:
-    """Documents that may hold a passage of an item: ``item_id, doc_id, run, distance``.
+    """Documents that hold a passage of an item within the error budget: ``item_id, doc_id, run, passage, distance``.
 
-    ``run`` in the result is the longest stretch of letters in which document and item agree exactly, ``distance`` the
-    least edit distance of a passage around a shared piece. Where the parameter ``run`` is 70, every pair that shares 70
-    consecutive letters is in the result, because 70 letters hold a whole piece of 70 / (budget + 1) of the item's
-    consecutive pieces as long as budget >= 1; keep those with ``run >= 70`` for exactly them.
+    ``passage`` is the number of letters of the longest such passage, ``distance`` its edit distance (0 to ``budget``),
+    ``run`` the longest stretch around a shared piece in which document and item agree exactly. Every pair that shares
+    ``run`` letters in a row is in the result, with a ``run`` of so many at least; so is every pair in which a passage of so
+    many letters differs by up to ``budget`` letters changed, missing or too many.
 
-    Texts count whole. Null and empty texts, and items shorter than a piece, give no rows. Repeated rows give one row per
-    pair of ids; the ids may be of any integer type. Other columns don't matter. Empty tables give no rows.
+    Texts count whole. Items of fewer than ``run`` letters are searched for as a whole, those under LEAST_LETTERS not at
+    all. Null and empty texts give no rows. Repeated rows give one row per pair of ids; the ids may be of any integer type.
+    Other columns don't matter. Empty tables give no rows.
     """
-    if budget < 1:
-        raise ValueError("a run at any place holds a whole piece only from a budget of 1 on")
+    if budget < 0 or piece_size(min(run, LEAST_LETTERS), run, budget) < 4:
+        raise ValueError("the pieces of a budget this large are too short to be searched for")
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0)
     chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -155,9 +188,24 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
                 _finders[key] = Finder(shipped.value, run, budget)
             find = _finders[key]
             for batch in batches:
-                rows = [(i, d, n, e) for d, x in zip(batch["d"], batch["x"]) for i, n, e in find(letters(x))]
-                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "run", "distance"])
+                rows = [(i, d, *found) for d, x in zip(batch["d"], batch["x"]) for i, *found in find(letters(x))]
+                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "run", "passage", "distance"])
 
-        part = src.mapInPandas(search, "item_id long, doc_id long, run long, distance long")
+        part = src.mapInPandas(search, "item_id long, doc_id long, run long, passage long, distance long")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("item_id", "doc_id").agg(F.max("run").alias("run"), F.min("distance").alias("distance"))
+    return out.groupBy("item_id", "doc_id").agg(F.max("run").alias("run"), F.max("passage").alias("passage"), F.min_by("distance", F.struct(-F.col("passage"), "distance")).alias("distance"))
+
+
+@F.pandas_udf(T.LongType())
+def _letters_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: len(letters(t or ""))).astype("int64")
+
+
+def report(found: DataFrame, items: DataFrame, item_id: str, item_text: str, run: int = 70) -> DataFrame:
+    """Per item: ``item_id, letters, searched, documents, near_documents, longest_run, longest_passage``: in how many
+    documents it leaked with ``run`` letters in a row, in how many more within the budget only, and how much of it at most.
+    Items without a leak count 0; ``searched`` is false for those too short to be searched for."""
+    n = found.groupBy("item_id").agg(F.count_if(F.col("run") >= run).alias("documents"), F.count_if(F.col("run") < run).alias("near_documents"), F.max("run").alias("longest_run"), F.max("passage").alias("longest_passage"))
+    own = items.groupBy(F.col(item_id).cast("long").alias("item_id")).agg(F.max(_letters_of(F.col(item_text))).alias("letters"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return own.join(n, "item_id", "left").select("item_id", "letters", (F.col("letters") >= LEAST_LETTERS).alias("searched"), *[zero(c) for c in ("documents", "near_documents", "longest_run", "longest_passage")])

@@ -88,17 +88,22 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold_items"), "doc_id", "text", "item_id", "text").where("run >= 70")
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold_items"), "doc_id", "text", "item_id", "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 70 consecutive letters or digits of an item."""
-    return _leaks(spark, sf_dir).select("item_id", "doc_id")
+    return _leaks(spark, sf_dir).where("run >= 70").select("item_id", "doc_id")
+
+
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of an item within the error budget, and its distance."""
+    return _leaks(spark, sf_dir)
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each item that leaked: in how many documents, and the longest leaked run."""
-    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("run").alias("longest_run"))
+    """For each item: in how many documents it leaked, exactly and nearly, and the longest leaked run and passage."""
+    return leakage.report(_leaks(spark, sf_dir), table(spark, sf_dir, "gold_items"), "item_id", "text")
 
 
 #: The public vocabulary that sizes are counted in; set another path here or pass it to ``mixing.mix``.
@@ -128,5 +133,5 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("probability") >= residue.DECISION)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_documents": p2_documents, "p2_segments": p2_segments, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_documents": p2_documents, "p2_segments": p2_segments, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_near": p6_near, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 SQL = sql.SQL

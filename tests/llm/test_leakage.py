@@ -1,6 +1,6 @@
 import random
 
-from quillspark.llm.leakage import Finder, leaks, letters, myers
+from quillspark.llm.leakage import Finder, leaks, letters, myers, report
 
 
 def distance(p, t):
@@ -47,7 +47,7 @@ def test_finder_against_brute_force():
             t = r.choice(items)[1]
             a = r.randint(0, len(t))
             doc += t[a : a + r.choice([50, 69, 70, 71, 120])] + word(r.randint(0, 3))
-        got = {i for i, n, _ in find(doc) if n >= 70}
+        got = {i for i, n, *_ in find(doc) if n >= 70}
         want = {i for i, t in items if longest(doc, t) >= 70}
         n_cases += len(want)
         assert got == want
@@ -76,3 +76,41 @@ def test_blocks_give_the_same(spark, monkeypatch):
     one = {tuple(r) for r in leaks(docs, items, "d", "t", "i", "t").collect()}
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
     assert {tuple(r) for r in leaks(docs, items, "d", "t", "i", "t").collect()} == one and len(one) >= 18
+
+
+def changed(r, t, edits):
+    for _ in range(edits):
+        k = r.randrange(5, len(t) - 5)
+        t = r.choice([t[:k] + "z" + t[k + 1 :], t[:k] + t[k + 1 :], t[:k] + "z" + t[k:]])
+    return t
+
+
+def test_near_passages_against_brute_force():
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    items = [(i, word(r.randint(40, 160))) for i in range(8)]
+    for budget in (1, 2):
+        find, n_cases, missed = Finder(items, 70, budget), 0, 0
+        for k in range(120):
+            i, t = r.choice(items)
+            w = min(70, len(t))
+            a = r.randint(0, len(t) - w)
+            doc = word(r.randint(0, 30)) + changed(r, t[a : a + w + r.randint(0, 8)], k % (budget + 3)) + word(20)
+            want = {j for j, x in items if min(distance(x[b : b + min(70, len(x))], doc) for b in range(len(x) - min(70, len(x)) + 1)) <= budget}
+            got = {j: d for j, _, _, d in find(doc)}
+            assert set(got) <= want and all(d <= budget for d in got.values())
+            n_cases += len(want)
+            missed += len(want - set(got))
+        assert n_cases > 40 and missed == 0, (n_cases, missed)
+
+
+def test_one_letter_changed_in_the_middle(spark):
+    passage = letters("The harbour master shall keep a register of all vessels, and every owner of a vessel shall file a return with the office before the end of the year, stating the cargo.")[:139]
+    near = passage[:69] + "q" + passage[70:]
+    docs = spark.createDataFrame([(1, "x " + near + " y"), (2, passage), (3, near[:60])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage), (8, "too short"), (9, None)], "item_id long, text string")
+    found = leaks(docs, items, "doc_id", "text", "item_id", "text")
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 1, 69, len(passage), 1), (7, 2, len(passage), len(passage), 0)]
+    rows = {r.item_id: r for r in report(found, items, "item_id", "text").collect()}
+    assert (rows[7].documents, rows[7].near_documents, rows[7].searched) == (1, 1, True)
+    assert (rows[8].documents, rows[8].searched, rows[9].letters, rows[9].searched) == (0, False, 0, False)
