@@ -142,8 +142,9 @@ def _most(counts: dict[str, int]) -> str:
 
 
 def repairs(text: str) -> list[tuple[str, str]]:
-    """Tokens of a folded text that mix scripts, or are wholly in another look-alike script than the text, with the form
-    in the dominant script. Only tokens that can be brought wholly into one script count."""
+    """Tokens of a folded text that mix scripts, with the form in their dominant script (the text's, where two scripts have
+    equally many letters). A word of one letter can't mix scripts, so it is brought into the text's. Only tokens that can
+    be brought wholly into one script count."""
     tokens = set(_TOKEN.findall(text))
     per: dict[str, dict[str, int]] = {}
     whole: dict[str, int] = {}
@@ -155,7 +156,7 @@ def repairs(text: str) -> list[tuple[str, str]]:
                 whole[s] = whole.get(s, 0) + 1
     main, out = _most(whole), []
     for t, c in per.items():
-        if not c or len(c) == 1 and main in c:
+        if not c or len(c) == 1 and (sum(c.values()) > 1 or main in c):
             continue
         top = max(c.values())
         leading = [s for s, n in c.items() if n == top]
@@ -250,3 +251,17 @@ def look_alike_pairs(df: DataFrame, source: str, row_id: str, text: str, block:
     a = members.select("source", "k", F.col("rid").alias("id_a"), F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"))
     b = members.select("source", "k", F.col("rid").alias("id_b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return a.join(b, ["source", "k", "part"]).where("id_a < id_b AND raw_a <> raw_b").select("source", "id_a", "id_b")
+
+
+def look_alike_classes(df: DataFrame, source: str, row_id: str, text: str) -> DataFrame:
+    """A row per text of ``df`` that is not null or empty and shows something: ``source, row_id, class_id, strings, rows``: the
+    least row id of its class of texts that look the same, how many different strings the class has, and how many rows.
+    Unlike the pairs this grows with the rows only, however large a class is."""
+    src = df.select(F.col(source).alias("source"), F.col(row_id).alias("row_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    keyed = canonical(src, "text", "canonical", F.concat_ws("|", F.col("source").cast("string"), F.col("row_id").cast("string")))
+    digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
+    keyed = cut(keyed.where(F.length("canonical") > 0).select("source", "row_id", digest("canonical").alias("k"), digest("text").alias("raw")), "forms")
+    # equal strings are one row before classes are formed, so that no task holds a class
+    strings = keyed.groupBy("source", "k", "raw").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("rows"))
+    classes = strings.groupBy("source", "k").agg(F.min("row_id").alias("class_id"), F.count(F.lit(1)).alias("strings"), F.sum("rows").alias("rows"))
+    return keyed.select("source", "row_id", "k").join(classes, ["source", "k"]).select("source", "row_id", "class_id", "strings", "rows")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.canonical import LOOK_ALIKES
+from quillspark.session import broadcast_if_small, cut
 
 #: Families with their languages.
 FAMILIES = {"Tai": ("lao", "tha"), "Romance": ("fra", "por"), "Austronesian": ("ind", "tet"), "Germanic": ("eng",), "Vietic": ("vie",)}
@@ -61,7 +62,7 @@ _LATIN_TWINS = {y.lower(): x.lower() for x, *ys in (r.split() for r in LOOK_ALIK
 _JOINTS = re.compile(r"\s*(?:[;,/|&+]|\band\b|\be\b|\bdan\b)\s*")
 _ROW, _CUT = "\x01", "\x02"
 _ENDS = re.compile(r"(?<=[.!?。！？])[^\S\x01]+|[\n\r]+|\s[—–/|]\s")
-_ASIDE = re.compile(r"\([^()\x01\x02]{1,60}\)")
+_ASIDE = re.compile(r"\([^()\x01\x02]+\)")
 _SCRIPT_RUN = {"lao": re.compile("[຀-໿][຀-໿\\s\\d.,]*"), "tha": re.compile("[฀-๿][฀-๿\\s\\d.,]*")}
 
 
@@ -161,27 +162,6 @@ class Sentences:
         """Share of a kind of letters among the letters of each sentence."""
         return np.bincount(self.owner[self.kind == kind], minlength=self.n) / np.maximum(self.letters, 1)
 
-    def _split_scripts(self) -> None:
-        """Sentences in which Lao and Thai, or one of them and Latin, stand side by side at length become several."""
-        raw, row, changed = [], [], False
-        for r, s in zip(self.row, self.raw):
-            parts = None
-            if not s.isascii() and len(s) > 2 * RUN:
-                bare = _ASIDE.sub(" ", s)
-                for pattern in _SCRIPT_RUN.values():
-                    own = "".join(pattern.findall(bare))
-                    if not own:
-                        continue
-                    rest = pattern.sub(" ", bare)
-                    if sum(c.isalpha() for c in own) >= RUN and sum(c.isalpha() for c in rest) >= RUN:
-                        parts = [own, rest]
-                        break
-            changed |= parts is not None
-            raw += parts or [s]
-            row += [r] * len(parts or [s])
-        if changed:
-            self.raw, self.row = raw, np.array(row)
-
     def mean(self, weights: np.ndarray) -> np.ndarray:
         """Mean weight of a sentence's n-grams, for each column of ``weights``."""
         size = np.maximum(np.bincount(self.at, minlength=self.n), 1)
@@ -221,14 +201,17 @@ class Model:
         for f, (members) in enumerate(FAMILIES.values()):
             here = best == f
             votes = np.zeros((s.n, len(members)))
-            margin = np.zeros(s.n)
+            least = np.full((s.n, len(members)), np.inf)  # the closest of a language's comparisons
             for k, (a, b) in enumerate(PAIRS):
                 if a in members:
                     x = score[:, len(FAMILIES) + k]
-                    votes[:, members.index(a)] += x > 0
-                    votes[:, members.index(b)] += x <= 0
-                    margin = np.abs(x)
-            lang[here] = LANGUAGES.index(members[0]) + votes.argmax(axis=1)[here]
+                    i, j = members.index(a), members.index(b)
+                    votes[:, i] += x > 0
+                    votes[:, j] += x <= 0
+                    least[:, i], least[:, j] = np.minimum(least[:, i], np.abs(x)), np.minimum(least[:, j], np.abs(x))
+            winner = votes.argmax(axis=1)
+            margin = least[np.arange(s.n), winner]
+            lang[here] = LANGUAGES.index(members[0]) + winner[here]
             if len(members) > 1:
                 conf[here] *= (1 / (1 + np.exp(-3 * margin)))[here]
         return lang, conf
@@ -271,24 +254,30 @@ def labelled_sample(df: DataFrame, text: str, label: str, per_label: int = 2 * S
     comes, and each language is bounded by itself, so that neither many copies nor a large language leave others without."""
     spark = df.sparkSession
     rows = df.select(F.col(text).alias("t"), F.col(label).alias("l")).where((F.length("t") > 0) & (F.length("l") > 0))
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("t")).alias("texts")).orderBy(F.desc("rows"), "l").limit(10_000).collect()
-    known = [(r.l, next(iter(c)), r.texts) for r in counts if len(c := label_languages(r.l)) == 1 and c <= set(LANGUAGES)]
-    total: dict[str, int] = {}
-    for _, c, n in known:
-        total[c] = total.get(c, 0) + n
-    if not known:
+    labels = rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("texts"))
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [label_languages(x) for x in b["l"]]
+            yield b.assign(code=pd.Series([next(iter(c)) if len(c) == 1 and c <= set(LANGUAGES) else None for c in sets], dtype=object, index=b.index))
+
+    known = cut(labels.mapInPandas(coded, "l string, texts long, code string").where("code IS NOT NULL"), "labels")
+    total = {r.code: r.n for r in known.groupBy("code").agg(F.sum("texts").alias("n")).collect()}
+    if not total:
         return []
-    shares = F.broadcast(spark.createDataFrame([(lab, c, min(1.0, per_label / total[c])) for lab, c, _ in known], "l string, code string, share double"))
+    at = F.create_map(*[x for c, n in total.items() for x in (F.lit(c), F.lit(min(1.0, per_label / max(n, 1))))])
+    shares = broadcast_if_small(known.select("l", "code", at[F.col("code")].alias("share")))
     picked = rows.join(shares, "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("t", "code").distinct()
     rank = F.row_number().over(Window.partitionBy("code").orderBy(F.pmod(F.xxhash64("t"), F.lit(1_000_000)), "t"))
     return sorted((r.t, r.code) for r in picked.withColumn("n_", rank).where(F.col("n_") <= 3 * per_label).collect())
 
 
 def _present(s: Sentences, lang: np.ndarray) -> np.ndarray:
-    """Whether a sentence counts: it is long enough, or its text has none that is."""
+    """Whether a sentence counts: it is long enough, or its text has none that is. Sentences mostly in a script that none of
+    LANGUAGES is written in have none of them."""
     longest = np.zeros(s.row.max(initial=-1) + 1, np.int64)
     np.maximum.at(longest, s.row, s.letters)
-    return (s.letters >= SHORT) | (s.letters == longest[s.row]) & (longest[s.row] < SHORT) & (s.letters > 0)
+    return ((s.letters >= SHORT) | (s.letters == longest[s.row]) & (longest[s.row] < SHORT) & (s.letters > 0)) & (s.share(4) <= 0.5)
 
 
 def segments(df: DataFrame, keep: list[str], text: str, model: Model) -> DataFrame:

@@ -25,9 +25,6 @@ DOUBLE = "gb18030"
 #: Characters that titles may hold, as ranges: Latin with accents (and control characters, that a first
 #: wrong reading left), punctuation, currency, Thai and Lao, Vietnamese, CJK punctuation, ideographs and full widths.
 REPERTOIRE = ((0x80, 0x17F), (0x1A0, 0x1A1), (0x1AF, 0x1B0), (0xE01, 0xE3A), (0xE3F, 0xE5B), (0xE81, 0xEDF), (0x1EA0, 0x1EF9), (0x2010, 0x2026), (0x20AC, 0x20AC), (0x2122, 0x2122), (0x3000, 0x3011), (0x4E00, 0x9FA5), (0xFF01, 0xFF5E))
-#: Rounds of repair: text may have been read wrongly more than once.
-ROUNDS = 3
-
 _CLOSING = set("”’»…–—™®º")
 _LOST = "�"
 #: A lead byte whose continuation was dropped as invisible: A with tilde before a small letter starts no word.
@@ -224,10 +221,11 @@ def hits(text: str, repaired: bool = False) -> list[Hit]:
 
 
 def repair(text: str) -> tuple[bool, str, bool]:
-    """(damaged, text with the spans restored that can be, whether all of it could be)."""
-    damaged = False
-    for k in range(ROUNDS):
-        found = hits(text, k > 0)
+    """(damaged, text with the spans restored that can be, whether all of it could be). Text may have been read wrongly any
+    number of times; each round makes it shorter, so there is an end."""
+    damaged, k, size = False, 0, len(text) + 1
+    while len(text) < size:
+        found, k, size = hits(text, k > 0), k + 1, len(text)
         damaged |= bool(found)
         if not any(h.to is not None for h in found):
             break

@@ -71,6 +71,11 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical(snippets(spark, sf_dir), "text", "canonical", rid).select("tbl", "record_id", "canonical")
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of snippets that look the same, for every snippet."""
+    return canonical.look_alike_classes(snippets(spark, sf_dir), "tbl", "record_id", "text").withColumnsRenamed({"source": "tbl", "row_id": "record_id"})
+
+
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     census = table(spark, sf_dir, "law_census").selectExpr("'law_census' AS tbl", "row_id", "title")
     docs = table(spark, sf_dir, "documents").selectExpr("'documents' AS tbl", "doc_id AS row_id", "title")
@@ -133,5 +138,5 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("probability") >= residue.DECISION)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_documents": p2_documents, "p2_segments": p2_segments, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_near": p6_near, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_documents": p2_documents, "p2_segments": p2_segments, "p4_found": p4_found, "p4_canonical": p4_canonical, "p4_classes": p4_classes, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_near": p6_near, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 SQL = sql.SQL

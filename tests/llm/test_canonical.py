@@ -62,3 +62,18 @@ def test_pairs_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert look_alike_pairs(rows(spark, []), "tbl", "rid", "text").count() == 0
+
+
+def test_words_of_another_script_stay():
+    from quillspark.llm.canonical import repairs
+
+    assert repairs("we saw сосна and the rest") == []  # all its letters have Latin twins, but it mixes nothing
+
+
+def test_classes(spark):
+    from quillspark.llm.canonical import look_alike_classes
+
+    df = spark.createDataFrame([(5, "a", "ｘ y"), (3, "a", "x y"), (4, "a", "x y"), (6, "a", "X y"), (7, "b", "x y"), (8, "a", None), (9, "a", ""), (9, "a", "\u200b")], "id long, s string, t string")
+    got = sorted(tuple(r) for r in look_alike_classes(df, "s", "id", "t").collect())
+    assert got == [("a", 3, 3, 2, 3), ("a", 4, 3, 2, 3), ("a", 5, 3, 2, 3), ("a", 6, 6, 1, 1), ("b", 7, 7, 1, 1)]
+    assert look_alike_classes(df.limit(0), "s", "id", "t").count() == 0

@@ -83,3 +83,10 @@ def test_sample_with_a_text_in_many_copies(spark):
     assert got[(first, "eng")] == 1 and max(got.values()) == 1
     n = Counter(code for _, code in got)
     assert set(n) == {"eng", "por", "ind"} and max(n.values()) <= 30
+
+
+def test_no_script_of_these_languages():
+    from quillspark.llm.language import Sentences, _present
+
+    s = Sentences(["ច្បាប់ស្តីពីការងារ", "The law on labour (" + "ច្បាប់" * 30 + ") holds."])
+    assert list(_present(s, None)) == [False, True] and s.letters[1] == 19

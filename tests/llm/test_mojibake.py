@@ -48,3 +48,12 @@ def test_frame(spark):
     got = sorted((r.id, r.restored[:8], r.complete) for r in damaged_texts(df, "title", ["id"]).collect())
     assert got == [(1, "Café", True), (1, "Café", True), (5, "é" * 8, True)]
     assert damaged_texts(df.limit(0), "title", ["id"]).count() == 0
+
+
+def test_any_number_of_rounds():
+    from quillspark.llm.mojibake import repair
+
+    text = "Regulamento da aquisição pública"
+    for _ in range(5):
+        text = text.encode().decode("latin-1")
+    assert repair(text) == (True, "Regulamento da aquisição pública", True)
