@@ -42,7 +42,7 @@ MOST = 6.0
 #: not what a message looks like.
 LENGTH = 12
 #: Passages that the first model gives less log odds than this, context aside, are legal text for good.
-FLOOR = -12.0
+FLOOR = -8.0
 #: Records by number of passages (1, 2, up to 5, more), for the share of residue in them.
 SIZES = (2, 3, 6)
 
@@ -107,7 +107,7 @@ TRUSTED: Signs = (*FIELDS, *FILLER, *ERRORS, *SCRIPTS)
 #: Trusted negatives: blanks printed for the public to fill in; notes of editors in brackets; sentences that set a norm.
 _PRINTED = re.compile(r"_{3,}|\.{4,}|…{2,}|\d__|__[年月日]")
 _EDITED = re.compile(r"^\W*[\[(][^\[\]]*\b(?:repealed|revoked|amended|substituted|inserted|omitted|revogad\w+|dicabut)\b", re.I)
-_NORM = re.compile(r"\b(?:shall|must|may not|need not|dever?á?|devem|não pode\w*|wajib|dilarang)\b|应当|不得|ຕ້ອງ", re.I)
+_NORMS = (" shall ", " must ", " may not ", " need not ", " deve ", " devem ", " deverá ", " não pode", " wajib ", " dilarang ", "应当", "不得", "ຕ້ອງ")
 #: A norm is a sentence of so many letters, or ideographs, at least.
 _NORM_LETTERS, _NORM_IDEOGRAPHS = 40, 15
 _DIGITS = re.compile(r"\d+")
@@ -212,10 +212,18 @@ def never_residue(parts: list[str]) -> list[bool]:
     heads: lines with a number that come again in the record, with another number or with text between."""
     out = [False] * len(parts)
     forms: dict[str, list[int]] = {}
+    whole = "\n".join(parts)
+    blanks = "__" in whole or "...." in whole or "……" in whole
+    norms = [w for w in _NORMS if w in whole]
     for k, p in enumerate(parts):
-        least = _NORM_IDEOGRAPHS if p[-1] > "\u2e80" else _NORM_LETTERS
-        out[k] = bool(_PRINTED.search(p) or len(p) >= least and _NORM.search(p) or p[0] in "[( " and _EDITED.search(p))
-        if not out[k] and (form := _DIGITS.sub("0", p)) != p:
+        if norms and len(p) >= (_NORM_IDEOGRAPHS if p[-1] > "\u2e80" else _NORM_LETTERS):
+            for w in norms:
+                if w in p:
+                    out[k] = True
+                    break
+        if not out[k]:
+            out[k] = bool(blanks and _PRINTED.search(p) or p[0] in "[( " and _EDITED.search(p))
+        if not out[k] and len(parts) > 1 and (form := _DIGITS.sub("0", p)) != p:
             forms.setdefault(form.strip(), []).append(k)
     for same in forms.values():
         if len(same) > 1 and (same[-1] - same[0] > 2 or len({parts[k].strip() for k in same}) > 1):
@@ -225,20 +233,18 @@ def never_residue(parts: list[str]) -> list[bool]:
 
 
 def _cut_up(texts: pd.Series, signs: Signs) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The passages of a batch, the row of each, its place in the row's list, and 1 for the trusted, -1 for the trusted
-    negatives."""
+    """The passages of a batch, the row of each, its place in the row's list, and whether it is trusted."""
     parts: list[str] = []
     sizes: list[int] = []
-    marks: list[int] = []
+    marks: list[bool] = []
     for text in texts:
         own = passages(text)
         parts += own
         sizes.append(len(own))
-        sure = [trusted(p, signs) for p in own] if _may_be_trusted(text, signs) else [False] * len(own)
-        marks += [1 if a else -1 if b else 0 for a, b in zip(sure, never_residue(own))]
+        marks += [trusted(p, signs) for p in own] if _may_be_trusted(text, signs) else [False] * len(own)
     n = np.array(sizes, np.int64)
     rows = np.repeat(np.arange(len(n)), n)
-    return parts, rows, np.arange(len(parts)) - np.repeat(np.cumsum(n) - n, n), np.array(marks, np.int8)
+    return parts, rows, np.arange(len(parts)) - np.repeat(np.cumsum(n) - n, n), np.array(marks, bool)
 
 
 def _count(batches: Iterator[pd.DataFrame], signs: Signs) -> Iterator[pd.DataFrame]:
@@ -246,10 +252,12 @@ def _count(batches: Iterator[pd.DataFrame], signs: Signs) -> Iterator[pd.DataFra
     totals = np.zeros((3, len(SIZES) + 1), np.int64)
     bags = Bags()
     for batch in batches:
-        parts, rows, _, marks = _cut_up(batch["x"], signs)
+        parts, rows, place, sure = _cut_up(batch["x"], signs)
         found, owner = bags(parts)
+        starts = np.flatnonzero(place == 0)
+        never = np.array([x for a, b in zip(starts, [*starts[1:], len(parts)]) for x in never_residue(parts[a:b])], bool) & ~sure
         size = np.digitize(np.bincount(rows, minlength=len(batch))[rows], SIZES)
-        for k, mine in enumerate((np.ones(len(parts), bool), marks > 0, marks < 0)):
+        for k, mine in enumerate((np.ones(len(parts), bool), sure, never)):
             kinds[k] += np.bincount(found[mine[owner]] if k else found, minlength=BINS)
             totals[k] += np.bincount(size[mine], minlength=len(SIZES) + 1)
     at = np.flatnonzero(kinds[0])
@@ -367,16 +375,19 @@ def residue_passages(docs: DataFrame, doc_id: str, text: str, signs: Signs = TRU
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bags = Bags()
         for batch in batches:
-            parts, rows, place, marks = _cut_up(batch["x"], signs)
+            parts, rows, place, sure = _cut_up(batch["x"], signs)
             found, owner = bags(parts)
-            keep = (marks > 0) | (marks == 0) & (evidence(first.value, found, owner, len(parts)) >= FLOOR)
+            keep = sure | (evidence(first.value, found, owner, len(parts)) >= FLOOR)
             order = np.argsort(owner, kind="stable")
             found, size = found[order], np.bincount(owner, minlength=len(parts))
             ends = np.cumsum(size)
             out = []
             for row in np.unique(rows[keep]):
-                i = np.flatnonzero(keep[(lo := np.searchsorted(rows, row)) : np.searchsorted(rows, row + 1)]) + lo
-                out.append((batch["d"].iloc[row], np.searchsorted(rows, row + 1) - lo, [parts[k] for k in i], place[i], marks[i], size[i], np.concatenate([found[ends[k] - size[k] : ends[k]] for k in i])))
+                lo, hi = np.searchsorted(rows, [row, row + 1])
+                never = np.array(never_residue(parts[lo:hi]), bool) & ~sure[lo:hi]
+                i = np.flatnonzero(keep[lo:hi] & ~never) + lo
+                if len(i):
+                    out.append((batch["d"].iloc[row], hi - lo, [parts[k] for k in i], place[i], sure[i].astype(np.int64), size[i], np.concatenate([found[ends[k] - size[k] : ends[k]] for k in i])))
             yield pd.DataFrame(out, columns=["doc_id", "size", "passages", "place", "marks", "lens", "bins"]).astype({"size": "int64"})
 
     left = cut(src.mapInPandas(screen, f"doc_id {kind}, size long, passages array<string>, place array<int>, marks array<int>, lens array<int>, bins array<int>"), "passages")
