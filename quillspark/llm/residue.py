@@ -42,7 +42,7 @@ MOST = 6.0
 #: not what a message looks like.
 LENGTH = 12
 #: Passages that the first model gives less log odds than this, context aside, are legal text for good.
-FLOOR = -8.0
+FLOOR = -12.0
 #: Records by number of passages (1, 2, up to 5, more), for the share of residue in them.
 SIZES = (2, 3, 6)
 
