@@ -165,25 +165,29 @@ def _keys() -> Column:
     )
 
 
-def _title_level(a: str, b: str, near: int, least: int) -> Column:
-    """1 alike but for slips, 2 close, 3 one is cut short, 4 much in common, 5 different, 0 not comparable."""
-    x, y = F.col(f"r.{a}"), F.col(f"b.{b}")
-    short = F.least(F.length(x), F.length(y))
-    long_ = F.greatest(F.length(x), F.length(y))
-    head = F.levenshtein(F.expr(f"substring(r.{a}, 1, least(length(r.{a}), length(b.{b})))"), F.expr(f"substring(b.{b}, 1, least(length(r.{a}), length(b.{b})))"))
-    level = lambda edits: (
-        F.when(edits <= near, 1)
-        .when(edits <= 2 * near, 2)
-        .when((short >= least) & (long_ - short > 2 * near) & (head <= near), 3)
-        .when(edits <= long_ * 0.3, 4)
+def _edits(a: str, near: int) -> Column:
+    """Edits between both titles of a pair where they can be close, else -1: lengths that differ by more, or edits beyond three
+    tenths of the longer one, are not counted out. Null if a side has no title."""
+    x, y = F.col(f"r.{a}"), F.col(f"b.{a}")
+    most = F.greatest(F.floor(F.greatest(F.length(x), F.length(y)) * 0.3).cast("int"), F.lit(2 * near))
+    apart = F.abs(F.length(x) - F.length(y)) > most
+    return F.when(x.isNull() | y.isNull(), F.lit(None)).when(x == y, 0).when(apart, -1).otherwise(F.call_function("levenshtein", x, y, most))
+
+
+def _title_level(a: str, near: int, least: int) -> Column:
+    """1 alike but for slips, 2 close, 3 one is cut short, 4 much in common, 5 different, 0 not comparable; from the column
+    ``edits_<a>``."""
+    x, y, edits = F.col(f"r.{a}"), F.col(f"b.{a}"), F.col(f"edits_{a}")
+    short, long_ = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    head = F.levenshtein(x.substr(F.lit(1), short), y.substr(F.lit(1), short), near) >= 0
+    return (
+        F.when(edits.isNull(), 0)
+        .when(edits.between(0, near), 1)
+        .when(edits.between(0, 2 * near), 2)
+        .when((short >= least) & (long_ - short > 2 * near) & head, 3)
+        .when((edits >= 0) & (edits <= long_ * 0.3), 4)
         .otherwise(5)
     )
-    return F.when(x.isNull() | y.isNull(), 0).when(x == y, 1).otherwise(_once(F.levenshtein(x, y), level))
-
-
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out a single time, however often ``use`` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _levels() -> dict[str, Column]:
@@ -205,8 +209,8 @@ def _levels() -> dict[str, Column]:
         .when(r("year").isNotNull() & b("year").isNotNull(), 4)
         .otherwise(5)
     )
-    en, lao = _title_level("en", "en", 2, 18), _title_level("lk", "lk", 1, 10)
-    title = _once(F.struct(en.alias("en"), lao.alias("lao")), lambda t: F.when((t["en"] == 0) | (t["lao"] > 0) & (t["lao"] < t["en"]), t["lao"]).otherwise(t["en"]))
+    en, lao = F.col("level_en"), F.col("level_lk")
+    title = F.when((en == 0) | (lao > 0) & (lao < en), lao).otherwise(en)
     # a viewer's number and a file's name are different namings and can't contradict each other
     viewed = lambda x: x.rlike("^view[0-9]+$")
     file = F.when(r("file").isNull() | b("file").isNull() | (viewed(r("file")) != viewed(b("file"))), 0).when(r("file") == b("file"), 1).otherwise(2)
@@ -291,7 +295,9 @@ def link(records: DataFrame, entries: DataFrame) -> DataFrame:
     levels = _levels()
     code = reduce(lambda acc, f: acc * SIZES[f] + levels[f], SIZES, F.lit(0))
     shown = lambda side: F.struct(F.col(f"{side}.num"), F.col(f"{side}.body"), F.col(f"{side}.year"), F.col(f"{side}.kind"))
-    pairs = met.where(~earlier).select(F.col("b.id").alias("entry_id"), F.col("r.id").alias("record_id"), code.cast("int").alias("code"), shown("b").alias("said"), shown("r").alias("own"))
+    compared = met.where(~earlier).withColumns({"edits_en": _edits("en", 2), "edits_lk": _edits("lk", 1)})
+    compared = compared.withColumns({"level_en": _title_level("en", 2, 18), "level_lk": _title_level("lk", 1, 10)})
+    pairs = compared.select(F.col("b.id").alias("entry_id"), F.col("r.id").alias("record_id"), code.cast("int").alias("code"), shown("b").alias("said"), shown("r").alias("own"))
     pairs = cut(pairs, "pairs")
     found = pairs.groupBy("code").count().toPandas()
     schema = "code int, confidence double"
