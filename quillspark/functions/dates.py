@@ -64,3 +64,22 @@ def economy_code(c: Column) -> Column:
     """Two-letter code of an economy; null for the unknown, never a guess."""
     k = F.lower(F.trim(c))
     return F.coalesce(F.try_element_at(_lookup(ECONOMIES), k), F.when(F.upper(k).isin(*sorted(set(ECONOMIES.values()))), F.upper(k)))
+
+
+def earliest_date(texts: Column, published: Column) -> Column:
+    """The earliest date of a text, else the day of publication."""
+    return F.coalesce(F.array_min(all_dates(texts)), published)
+
+
+def display_date(c: Column, pattern: str = "d MMMM yyyy") -> Column:
+    """A date as it is displayed, by the real calendar; null if there is no such day."""
+    return F.try_to_date(c, pattern)
+
+
+#: What languages are called.
+LANGUAGE_NAMES = {"eng": "English", "por": "Portuguese", "zho": "Chinese", "lao": "Lao", "ind": "Indonesian", "tet": "Tetum", "fra": "French"}
+
+
+def language_name(code: Column) -> Column:
+    """Display name of a language code; blank for the unknown."""
+    return F.coalesce(F.try_element_at(_lookup(LANGUAGE_NAMES), code), F.lit(""))

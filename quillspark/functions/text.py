@@ -63,7 +63,7 @@ def slug(c: Column, most: int = 80) -> Column:
 def acronym(c: Column) -> Column:
     """Initials of the words that say something, and the last year named."""
     words = F.filter(F.split(plain_name(c), " "), lambda w: (w != "") & ~w.isin("a", "an", "and", "by", "for", "in", "of", "on", "or", "the", "to", "with") & ~w.rlike("^[0-9]"))
-    years = F.regexp_extract_all(c, F.lit(r"\b((?:19|20)[0-9]{2})\b"), 1)
+    years = F.regexp_extract_all(c, F.lit(r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:$|[^0-9])"), 1)
     return F.concat(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""), F.when(F.size(years) > 0, F.element_at(years, -1)).otherwise(F.lit("")))
 
 
@@ -156,3 +156,65 @@ def numeral(c: Column) -> Column:
 
     value = F.aggregate(F.split(c, ""), start, step, lambda acc: acc["sum"] + F.greatest(acc["last"], F.lit(0)))
     return F.when(c.rlike("^[零〇一二两三四五六七八九十百千]+$"), value)
+
+
+def without_notes(c: Column) -> Column:
+    """Name without its notes of revision or amendment, in plain form."""
+    return plain_name(F.regexp_replace(c, r"(?i)\((?:revised|amendment|amended)[^)]*\)", " "))
+
+
+def cited_roots(c: Column) -> Column:
+    """Numbers with letters that cue words announce, distinct, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?i)(?:section|article|art\.|artigo|clause|pasal)\s*([0-9]+[A-Z]*)"), 1), F.upper))
+
+
+def title_normal(c: Column) -> Column:
+    """Capitals, straight quotes, single blanks."""
+    return F.upper(F.trim(F.regexp_replace(F.translate(c, "‘’“”", "''\"\""), r"[ \t\r\n]+", " ")))
+
+
+def amending_base(c: Column) -> Column:
+    """What an amending title amends: the title before 'AMENDMENT ACT' and the year; null for other titles."""
+    return F.nullif(F.trim(F.regexp_extract(title_normal(c), r"^(.*?)\(?AMENDMENT\)? ACT [0-9]{4}", 1)), F.lit(""))
+
+
+def title_key(c: Column) -> Column:
+    """Title in normal form without kind and year at its end."""
+    return F.trim(F.regexp_replace(title_normal(c), r" *(?:ACT|RULES|ORDER|REGULATIONS)? *[0-9]{4}$", ""))
+
+
+def title_core(c: Column) -> Column:
+    """Title without book marks, notes in brackets and the country's name."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[《》]|[(（][^()（）]*[)）]", ""), r"^中华人民共和国", ""))
+
+
+def numbers_read_twice(c: Column) -> Column:
+    """Numbers of the form n/yyyy in a text as it is and with its blanks removed, distinct and sorted."""
+    found = lambda x: F.regexp_extract_all(x, F.lit(r"[0-9]+/[0-9]{4}"), 0)
+    return F.array_sort(F.array_union(found(c), found(F.regexp_replace(c, r"[ \t\r\n]+", ""))))
+
+
+def amended_number(c: Column) -> Column:
+    """Number of the instrument that an amending title names."""
+    return F.nullif(F.regexp_extract(c, r"(?i)altera\S* (?:à|ao|da|do) .*?n\.?[ºo°]\.? *([0-9]+/[0-9]{4})", 1), F.lit(""))
+
+
+def short_path(c: Column, most: int = 80) -> Column:
+    """Path whose folders longer than ``most`` are cut and marked with 8 hex digits of their hash."""
+    return F.array_join(F.transform(F.split(c, "/"), lambda p: F.when(F.length(p) > most, F.concat(F.substring(p, 1, most - 9), F.lit("-"), F.substring(F.sha2(p, 256), 1, 8))).otherwise(p)), "/")
+
+
+def sentence_cut(c: Column, most: int = 1500) -> Column:
+    """Text of at most ``most`` letters, cut after its last sentence end if it is longer."""
+    head = F.substring(c, 1, most)
+    return F.when(F.length(c) <= most, c).otherwise(F.coalesce(F.nullif(F.regexp_extract(head, r"(?s)^(.*[.!?。])", 1), F.lit("")), head))
+
+
+def heading(c: Column) -> Column:
+    """True for a line that is a heading in one of the scripts."""
+    return F.coalesce(c.rlike(r"^(?:(?:PART|Part|Division|Section|SECTION|CAPÍTULO|Artigo|Pasal|BAB) ?[0-9]+|(?:ມາດຕາ|ໝວດທີ) ?[0-9]+|第[0-9一二三四五六七八九十百]+[条章])"), F.lit(False))
+
+
+def error_rate(reference: Column, hypothesis: Column) -> Column:
+    """Edits per letter of the reference; null for an empty one."""
+    return F.when(F.length(reference) > 0, F.levenshtein(reference, hypothesis) / F.length(reference))

@@ -38,3 +38,14 @@ def suffixes(host_: Column) -> Column:
     """The host and each of its parents, longest first: what a longest-suffix join explodes."""
     parts = F.split(host_, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def deep_link(base: Column, hint: Column, kind: Column) -> Column:
+    """Address with its anchor: as a parameter, as a fragment or none; another kind is an error."""
+    whole = F.when(base.contains("?"), F.lit("&")).otherwise(F.lit("?"))
+    return (
+        F.when((kind == "none") | hint.isNull() | (hint == ""), base)
+        .when(kind == "query", F.concat(base, whole, F.lit("anchor="), hint))
+        .when(kind == "fragment", F.concat(base, F.lit("#"), hint))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown kind of anchor: "), kind)))
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import pipeline, problems, reference
+from quillspark.plans import pipeline, problems, reference, texts
 
-_PARTS = [problems, reference, pipeline]
+_PARTS = [problems, reference, pipeline, texts]
 
 QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _PARTS for k, s in m.SQL.items()}
