@@ -196,7 +196,7 @@ def numbers_read_twice(c: Column) -> Column:
 
 def amended_number(c: Column) -> Column:
     """Number of the instrument that an amending title names."""
-    return F.nullif(F.regexp_extract(c, r"(?i)altera\S* (?:à|ao|da|do) .*?n\.?[ºo°]\.? *([0-9]+/[0-9]{4})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, r"(?iu)altera\S* (?:à|ao|da|do) .*?n\.?[ºo°]\.? *([0-9]+/[0-9]{4})", 1), F.lit(""))
 
 
 def short_path(c: Column, most: int = 80) -> Column:

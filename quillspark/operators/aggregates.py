@@ -13,8 +13,9 @@ def weighted_mode(df: DataFrame, by: Sequence[str], value: str, weight: Column)
     weight counts as 1."""
     w = F.when(F.coalesce(weight, F.lit(0)) == 0, F.lit(1)).otherwise(weight)
     sums = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(w).alias("weight"))
-    best = sums.groupBy(*by).agg(F.max("weight").alias("weight"))
-    return sums.join(best, [*by, "weight"]).groupBy(*by, "weight").agg(F.min(value).alias(value)).select(*by, value, "weight")
+    # heaviest first, then lowest value; a null group is a group as well
+    best = sums.groupBy(*by).agg(F.max("weight").alias("weight"), F.min_by(value, F.struct((-F.col("weight")).alias("w"), F.col(value).alias("v"))).alias(value))
+    return best.select(*by, value, "weight")
 
 
 def dominant(df: DataFrame, by: Sequence[str], value: str, least: float) -> DataFrame:
@@ -48,11 +49,11 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]], by: Sequence[str
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def furniture(pages: DataFrame, doc: str, page: str, text: str, share: float = 0.3, longest: int = 100) -> DataFrame:
+def furniture(pages: DataFrame, doc: str, page: str, text: str, share: float = 0.3) -> DataFrame:
     """Lines that repeat over the pages of a document, digits masked (E09): on at least greatest(3, share of the pages)."""
     lines = pages.select(doc, page, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(x), "[0-9]+", "#")))).alias("line"))
     sizes = pages.groupBy(doc).agg(F.countDistinct(page).alias("n"))
-    seen = lines.where((F.length("line") > 0) & (F.length("line") <= longest)).groupBy(doc, "line").agg(F.countDistinct(page).alias("pages"))
+    seen = lines.where(F.length("line") > 0).groupBy(doc, "line").agg(F.countDistinct(page).alias("pages"))
     return seen.join(sizes, doc).where(F.col("pages") >= F.greatest(F.lit(3), F.floor(F.col("n") * share))).select(doc, "line", "pages")
 
 

@@ -86,13 +86,10 @@ SELECT indicator_id, count(*) AS gold, count(e.law_number_ref) AS hits, round(co
 def d09(s, d):
     keys = lambda df: df.where("law_number_ref LIKE '%/%'").select("indicator_id", "law_number_ref").distinct()
     e = keys(records(s, d)).withColumn("hit", F.lit(1))
-    j = keys(baseline(s, d)).where("indicator_id IS NOT NULL").join(e, ["indicator_id", "law_number_ref"], "left")
+    j = keys(baseline(s, d)).join(e, ["indicator_id", "law_number_ref"], "left")  # rows without an indicator are a group too
     return j.groupBy("indicator_id").agg(F.count(F.lit(1)).alias("gold"), F.count("hit").alias("hits"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
 
 
-SQL["d09_evaluation"] = SQL["d09_evaluation"].replace("FROM baseline_la WHERE", "FROM baseline_la WHERE indicator_id IS NOT NULL AND")
-
-
 @query("d23_resume", "SELECT DISTINCT url FROM crawl_log WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM crawl_log WHERE outcome IN ('ok', 'duplicate') AND url IS NOT NULL)")
 def d23(s, d):
     c = crawl(s, d)
@@ -142,10 +139,7 @@ def e17(s, d):
     c = census(s, d)
     # the minimum as an aggregate and a join: a window would gather an economy in one task
     least = c.groupBy("economy").agg(F.min("amendments_listed").alias("least"))
-    return c.where("economy IS NOT NULL").join(least, "economy").where("amendments_listed > least").select("row_id", (F.col("amendments_listed") - F.col("least")).alias("above_least"))
-
-
-SQL["e17_checks_against_group"] = SQL["e17_checks_against_group"].replace("FROM law_census QUALIFY", "FROM law_census WHERE economy IS NOT NULL QUALIFY")
+    return c.join(least.withColumnRenamed("economy", "e_"), F.col("economy").eqNullSafe(F.col("e_"))).where("amendments_listed > least").select("row_id", (F.col("amendments_listed") - F.col("least")).alias("above_least"))
 
 
 @query("e20_method_counters", "SELECT retrieval_method, count(*) AS requests, count_if(outcome = 'ok') AS ok, count(DISTINCT url) AS urls, round(count_if(outcome = 'ok') / count(*), 6) AS share FROM crawl_log GROUP BY 1")
@@ -168,11 +162,11 @@ def f02(s, d):
     return out.select("record_id", F.coalesce("t3", "t2", "t1", "t0").alias("theta"))
 
 
-@query("f05_overrides", "SELECT * FROM (VALUES ('6.1', 400), ('7.3', 900)) AS t(indicator, cap)")
+@query("f05_overrides", r"""WITH p AS (SELECT record_id, unnest(regexp_split_to_array(regexp_extract(source_url, '\?([^#]*)', 1), '[?&]')) AS p FROM records_la)
+SELECT record_id, string_split(p, '=')[1] AS name, string_split(p, '=')[2] AS value FROM p WHERE contains(p, '=')""")
 def f05(s, d):
-    text_ = s.createDataFrame([("6.1=400,7.3=900",)], "spec string")
-    pairs = F.explode(F.split("spec", ",")).alias("p")
-    return text_.select(pairs).select(F.split("p", "=")[0].alias("indicator"), F.split("p", "=")[1].cast("int").alias("cap"))
+    pairs = F.explode(F.split(F.regexp_extract("source_url", r"\?([^#]*)", 1), "[?&]")).alias("p")
+    return records(s, d).select("record_id", pairs).where(F.col("p").contains("=")).select("record_id", F.split("p", "=")[0].alias("name"), F.split("p", "=")[1].alias("value"))
 
 
 @query("f27_latest_as_of", "SELECT portal_id, arg_max(version_id, (snapshot_date, row_id)) AS version_id, max(snapshot_date) AS snapshot_date FROM law_census WHERE snapshot_date <= '2026-06-15' GROUP BY 1")
@@ -246,14 +240,6 @@ def k08(s, d):
 # L and O: work lists and catalogue
 
 
-@query("l05_moved", """WITH u AS (SELECT portal_id, snapshot_date, lower(regexp_replace(document_url, '[?#].*$', '')) AS u FROM law_census WHERE document_url <> ''), o AS (SELECT portal_id, min(u) AS u FROM u WHERE snapshot_date = '2026-03-01' GROUP BY 1), n AS (SELECT portal_id, min(u) AS u FROM u WHERE snapshot_date = '2026-08-01' GROUP BY 1)
-SELECT portal_id, o.u AS was, n.u AS is_now FROM o JOIN n USING (portal_id) WHERE o.u <> n.u""")
-def l05(s, d):
-    u = census(s, d).where("document_url <> ''").select("portal_id", "snapshot_date", F.lower(F.regexp_replace("document_url", "[?#].*$", "")).alias("u"))
-    at = lambda day, a: u.where(F.col("snapshot_date") == day).groupBy("portal_id").agg(F.min("u").alias(a))
-    return at("2026-03-01", "was").join(at("2026-08-01", "is_now"), "portal_id").where("was <> is_now")
-
-
 @query("l08_work_list", """WITH stored AS (SELECT DISTINCT final_url FROM crawl_log WHERE outcome = 'ok' AND final_url IS NOT NULL)
 SELECT DISTINCT url, host FROM crawl_log WHERE status = 200 AND url IS NOT NULL AND url NOT IN (SELECT final_url FROM stored)""")
 def l08(s, d):
@@ -267,12 +253,6 @@ def o11(s, d):
     return census(s, d).selectExpr("row_id", "CASE WHEN in_all = 'true' AND in_relevant = 'true' THEN NULL WHEN coalesce(document_url, '') = '' THEN 'no address' WHEN in_all = 'false' THEN 'not listed' ELSE 'not relevant' END AS reason")
 
 
-@query("o12_fingerprints", "SELECT economy, md5(string_agg(k, '|' ORDER BY k)) AS fingerprint FROM (SELECT DISTINCT economy, portal_id AS k FROM law_census WHERE snapshot_date = '2026-06-01') GROUP BY 1")
-def o12(s, d):
-    keys = census(s, d).where("snapshot_date = '2026-06-01'").select("economy", "portal_id").distinct()
-    return keys.groupBy("economy").agg(F.md5(F.array_join(F.array_sort(F.collect_list("portal_id")), "|")).alias("fingerprint"))
-
-
 @query("o13_membership", "SELECT row_id, CASE WHEN list_contains(string_split(document_kinds, ';'), 'principal_act') THEN 'dedicated' WHEN len(list_filter(string_split(document_kinds, ';'), lambda x: starts_with(x, 'amend'))) > 0 THEN 'general' END AS membership FROM law_census")
 def o13(s, d):
     kinds = F.split("document_kinds", ";")
@@ -322,14 +302,3 @@ def o38(s, d):
 @query("o55_profile", "SELECT economy, series, count(*) AS rows, count(DISTINCT portal_id) AS laws, count(title) AS titled, min(snapshot_date) AS first, max(snapshot_date) AS last FROM law_census GROUP BY ALL")
 def o55(s, d):
     return census(s, d).groupBy("economy", "series").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("portal_id").alias("laws"), F.count("title").alias("titled"), F.min("snapshot_date").alias("first"), F.max("snapshot_date").alias("last"))
-
-
-@query("o07_prefix_amendments", """WITH l AS (SELECT DISTINCT upper(title) AS law FROM law_census WHERE economy = 'AU' AND title IS NOT NULL AND title NOT LIKE '%Amendment%'), a AS (SELECT DISTINCT upper(regexp_replace(last_amending_instrument, ' Amendment Act [0-9]{4}$', '')) AS stem, last_amending_instrument AS amending FROM law_census WHERE economy = 'AU' AND last_amending_instrument LIKE '%Amendment Act%')
-SELECT amending, law FROM a JOIN l ON starts_with(law, stem) AND length(stem) >= 12 AND substr(law, 1, 12) = substr(stem, 1, 12)""")
-def o07(s, d):
-    c = census(s, d).where("economy = 'AU'")
-    law = c.where("title IS NOT NULL AND title NOT LIKE '%Amendment%'").select(F.upper("title").alias("law")).distinct().withColumn("head", F.substring("law", 1, 12))
-    a = c.where("last_amending_instrument LIKE '%Amendment Act%'").select(F.upper(F.regexp_replace("last_amending_instrument", " Amendment Act [0-9]{4}$", "")).alias("stem"), F.col("last_amending_instrument").alias("amending")).distinct().where("length(stem) >= 12").withColumn("head", F.substring("stem", 1, 12))
-    # the common head makes the prefix join one of equality
-    return a.join(law, "head").where(F.col("law").startswith(F.col("stem"))).select("amending", "law")
-

@@ -197,10 +197,7 @@ def d06(s, d):
 @query("e01_weighted_mode", """WITH s AS (SELECT source, lang, sum(CASE WHEN coalesce(n_chars, 0) = 0 THEN 1 ELSE n_chars END)::BIGINT AS weight FROM documents WHERE lang IS NOT NULL GROUP BY ALL)
 SELECT source, lang, weight FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight DESC, lang) = 1""")
 def e01(s, d):
-    return aggregates.weighted_mode(documents(s, d).where("source IS NOT NULL"), ["source"], "lang", F.col("n_chars"))
-
-
-SQL["e01_weighted_mode"] = SQL["e01_weighted_mode"].replace("WHERE lang IS NOT NULL", "WHERE lang IS NOT NULL AND source IS NOT NULL")
+    return aggregates.weighted_mode(documents(s, d), ["source"], "lang", F.col("n_chars"))
 
 
 @query("e08_reconcile", """WITH a AS (SELECT instrument_id, count(*) AS n FROM documents WHERE lang = 'en' AND instrument_id IS NOT NULL GROUP BY 1), b AS (SELECT instrument_id, count(*) AS n FROM documents WHERE economy IS NOT NULL AND instrument_id IS NOT NULL GROUP BY 1)
@@ -441,13 +438,7 @@ def i36(s, d):
     return documents(s, d).where("n_chars > 0").select("doc_id", c["before"].alias("before"), c["snippet"].alias("snippet"))
 
 
-@query("i42_masked_lines", "SELECT regexp_replace(trim(line), '[0-9]+', '#', 'g') AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) BETWEEN 1 AND 40 GROUP BY 1 HAVING count(*) >= 3")
-def i42(s, d):
-    lines = documents(s, d).select(F.explode(F.split("text", "\n")).alias("l")).where(F.length(F.trim("l")).between(1, 40))
-    return lines.groupBy(text.digit_mask(F.trim("l")).alias("line")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-
-
-@query("i42_masked_lines_all", "SELECT regexp_replace(trim(line), '[0-9]+', '#', 'g') AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) >= 1 GROUP BY 1 HAVING count(*) >= 3")
+@query("i42_masked_lines", "SELECT regexp_replace(trim(line), '[0-9]+', '#', 'g') AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) >= 1 GROUP BY 1 HAVING count(*) >= 3")
 def i42_all(s, d):
     lines = documents(s, d).select(F.explode(F.split("text", "\n")).alias("l")).where(F.length(F.trim("l")) >= 1)
     return lines.groupBy(text.digit_mask(F.trim("l")).alias("line")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
@@ -476,14 +467,6 @@ def j14(s, d):
 # L and O: changes, census
 
 
-@query("l06_listing_changes", """WITH o AS (SELECT portal_id, min(title) AS title, min(legal_status) AS legal_status FROM law_census WHERE snapshot_date = '2026-04-01' AND portal_id IS NOT NULL GROUP BY 1), n AS (SELECT portal_id, min(title) AS title, min(legal_status) AS legal_status FROM law_census WHERE snapshot_date = '2026-06-01' AND portal_id IS NOT NULL GROUP BY 1)
-SELECT portal_id, CASE WHEN o.portal_id IS NULL THEN 'new' WHEN n.portal_id IS NULL THEN 'gone' ELSE 'changed' END AS change, CASE WHEN o.portal_id IS NULL OR n.portal_id IS NULL THEN [] ELSE list_filter([CASE WHEN o.title IS DISTINCT FROM n.title THEN 'title' END, CASE WHEN o.legal_status IS DISTINCT FROM n.legal_status THEN 'status' END], lambda x: x IS NOT NULL) END AS reasons
-FROM o FULL JOIN n USING (portal_id) WHERE o.portal_id IS NULL OR n.portal_id IS NULL OR o.title IS DISTINCT FROM n.title OR o.legal_status IS DISTINCT FROM n.legal_status""")
-def l06(s, d):
-    at = lambda day: census(s, d).where((F.col("snapshot_date") == day) & F.col("portal_id").isNotNull()).groupBy("portal_id").agg(F.min("title").alias("title"), F.min("legal_status").alias("legal_status"))
-    return changes.listing_changes(at("2026-04-01"), at("2026-06-01"), "portal_id", {"title": F.col("title"), "status": F.col("legal_status")})
-
-
 def _listed(s, d, *cols):
     """One row per law and snapshot, by the rules of p3: the latest delivery holds; keys in upper case without white space around."""
     c = census(s, d).withColumn("portal_id", F.upper(F.regexp_replace("portal_id", r"(?U)^\s+|\s+$", ""))).where("length(portal_id) > 0 AND length(snapshot_date) > 0")
@@ -495,7 +478,7 @@ c AS (SELECT economy, snapshot_date, lag(snapshot_date) OVER (PARTITION BY econo
 """
 
 
-@query("l06_listing_changes_all", _LISTED + r"""v AS (SELECT economy, portal_id, snapshot_date, title, nullif(regexp_replace(lower(regexp_replace(legal_status, '^\s+|\s+$', '', 'g')), '[_\-\s]+', ' ', 'g'), '') AS status FROM l),
+@query("l06_listing_changes", _LISTED + r"""v AS (SELECT economy, portal_id, snapshot_date, title, nullif(regexp_replace(lower(regexp_replace(legal_status, '^\s+|\s+$', '', 'g')), '[_\-\s]+', ' ', 'g'), '') AS status FROM l),
 n AS (SELECT v.* FROM v JOIN c ON v.economy IS NOT DISTINCT FROM c.economy AND v.snapshot_date = c.snapshot_date WHERE c.prev IS NOT NULL), o AS (SELECT v.* REPLACE (c.snapshot_date AS snapshot_date) FROM v JOIN c ON v.economy IS NOT DISTINCT FROM c.economy AND v.snapshot_date = c.prev)
 SELECT coalesce(n.economy, o.economy) AS economy, coalesce(n.portal_id, o.portal_id) AS portal_id, coalesce(n.snapshot_date, o.snapshot_date) AS snapshot_date, CASE WHEN o.portal_id IS NULL THEN 'new' WHEN n.portal_id IS NULL THEN 'gone' ELSE 'changed' END AS change, CASE WHEN o.portal_id IS NULL OR n.portal_id IS NULL THEN [] ELSE list_filter([CASE WHEN o.title IS DISTINCT FROM n.title THEN 'title' END, CASE WHEN o.status IS DISTINCT FROM n.status THEN 'status' END], lambda x: x IS NOT NULL) END AS reasons
 FROM o FULL JOIN n ON o.economy IS NOT DISTINCT FROM n.economy AND o.portal_id = n.portal_id AND o.snapshot_date = n.snapshot_date WHERE o.portal_id IS NULL OR n.portal_id IS NULL OR o.title IS DISTINCT FROM n.title OR o.status IS DISTINCT FROM n.status""")
@@ -504,7 +487,7 @@ def l06_all(s, d):
     return changes.listing_changes(old, new, "k", {"title": F.col("title"), "status": snapshots.loose_word(F.col("legal_status"))}).select("k.*", "change", "reasons")
 
 
-@query("l05_moved_all", _LISTED + r"""u AS (SELECT economy, portal_id, snapshot_date, lower(regexp_replace(document_url, '[?#].*$', '')) AS u FROM l WHERE document_url <> ''),
+@query("l05_moved", _LISTED + r"""u AS (SELECT economy, portal_id, snapshot_date, lower(regexp_replace(document_url, '[?#].*$', '')) AS u FROM l WHERE document_url <> ''),
 m AS (SELECT economy, portal_id, snapshot_date, lag(u) OVER w AS was, u AS is_now FROM u WINDOW w AS (PARTITION BY economy, portal_id ORDER BY snapshot_date))
 SELECT * FROM m WHERE was <> is_now""")
 def l05_all(s, d):
@@ -514,7 +497,7 @@ def l05_all(s, d):
     return u.select("economy", "portal_id", "snapshot_date", F.lag("is_now").over(w).alias("was"), "is_now").where("was <> is_now")
 
 
-@query("l09_carried_all", _LISTED + """f AS (SELECT economy, portal_id, min(snapshot_date) AS since FROM l GROUP BY ALL), g AS (SELECT f.*, c.snapshot_date, c.prev FROM f JOIN c ON f.economy IS NOT DISTINCT FROM c.economy AND c.snapshot_date >= f.since),
+@query("l09_carried", _LISTED + """f AS (SELECT economy, portal_id, min(snapshot_date) AS since FROM l GROUP BY ALL), g AS (SELECT f.*, c.snapshot_date, c.prev FROM f JOIN c ON f.economy IS NOT DISTINCT FROM c.economy AND c.snapshot_date >= f.since),
 j AS (SELECT g.*, l.portal_id IS NOT NULL AS listed, l.title, l.legal_status, coalesce(l.in_seed = 'true', false) OR g.snapshot_date = g.since AS holds FROM g LEFT JOIN l ON g.economy IS NOT DISTINCT FROM l.economy AND g.portal_id = l.portal_id AND g.snapshot_date = l.snapshot_date),
 k AS (SELECT economy, portal_id, snapshot_date, prev, last_value(title IGNORE NULLS) OVER w AS title, last_value(CASE WHEN holds THEN {'s': legal_status} END IGNORE NULLS) OVER w AS state, CASE WHEN NOT listed THEN 'not listed' END AS carried FROM j WINDOW w AS (PARTITION BY economy, portal_id ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT economy, portal_id, snapshot_date, title, state.s AS legal_status, carried FROM k WHERE prev IS NOT NULL""")
@@ -523,7 +506,7 @@ def l09_all(s, d):
     return changes.carried_over(rows, "economy", "portal_id", "snapshot_date", F.col("in_seed") == "true", ["legal_status"], "not listed").drop("in_seed")
 
 
-@query("o12_fingerprints_all", _LISTED + "k AS (SELECT DISTINCT economy, snapshot_date, portal_id FROM l) SELECT economy, snapshot_date, md5(string_agg(portal_id, '|' ORDER BY portal_id)) AS fingerprint FROM k GROUP BY ALL")
+@query("o12_fingerprints", _LISTED + "k AS (SELECT DISTINCT economy, snapshot_date, portal_id FROM l) SELECT economy, snapshot_date, md5(string_agg(portal_id, '|' ORDER BY portal_id)) AS fingerprint FROM k GROUP BY ALL")
 def o12_all(s, d):
     return _listed(s, d).groupBy("economy", "snapshot_date").agg(F.md5(F.array_join(F.array_sort(F.collect_list("portal_id")), "|")).alias("fingerprint"))
 
@@ -542,7 +525,7 @@ _NUMBER_YEAR = "[/,] *((?:1[89]|20)[0-9]{2})$"
 _LINKAGE = "(^|;)(amending_act|repealing_act|commencement_instrument)(;|$)"
 
 
-@query("o07_prefix_amendments_all", _LISTED + f"""x AS (SELECT economy, unnest([last_amending_instrument, title]) AS amending FROM l),
+@query("o07_prefix_amendments", _LISTED + f"""x AS (SELECT economy, unnest([last_amending_instrument, title]) AS amending FROM l),
 a AS (SELECT DISTINCT economy, amending, upper(trim(regexp_extract(amending, '^(.+?) Amendment ', 1))) AS stem, try_cast(nullif(regexp_extract(amending, '{_YEAR}', 1), '') AS INTEGER) AS amended FROM x),
 t AS (SELECT DISTINCT economy, portal_id, upper(trim(title)) AS law, try_cast(coalesce(nullif(regexp_extract(title, '{_YEAR}', 1), ''), nullif(regexp_extract(law_number, '{_NUMBER_YEAR}', 1), '')) AS INTEGER) AS dated FROM l WHERE title NOT LIKE '%Amendment%' AND NOT regexp_matches(coalesce(document_kinds, ''), '{_LINKAGE}')),
 n AS (SELECT a.economy, portal_id, law, dated, amending, amended FROM a JOIN t ON a.economy IS NOT DISTINCT FROM t.economy AND length(stem) > 0 AND length(law) > 0 AND (starts_with(law, stem) OR starts_with(stem, law)) AND dated < amended QUALIFY row_number() OVER (PARTITION BY a.economy, amending ORDER BY dated DESC, portal_id DESC, law DESC) = 1)
@@ -605,7 +588,7 @@ def d17(s, d):
     return r.select("record_id", F.coalesce("b1", "b2").alias("baseline_id"), F.when(F.col("b1").isNotNull(), "number").when(F.col("b2").isNotNull(), "title").alias("link_source"))
 
 
-@query("e09_furniture", """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS body, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS page FROM documents), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), l AS (SELECT DISTINCT doc_id, page, regexp_replace(trim(line, ' '), '[0-9]+', '#', 'g') AS line FROM (SELECT doc_id, page, unnest(string_split(body, chr(10))) AS line FROM p)), c AS (SELECT doc_id, line, count(*) AS pages FROM l WHERE length(line) BETWEEN 1 AND 100 GROUP BY ALL)
+@query("e09_furniture", """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS body, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS page FROM documents), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), l AS (SELECT DISTINCT doc_id, page, regexp_replace(trim(line, ' '), '[0-9]+', '#', 'g') AS line FROM (SELECT doc_id, page, unnest(string_split(body, chr(10))) AS line FROM p)), c AS (SELECT doc_id, line, count(*) AS pages FROM l WHERE length(line) > 0 GROUP BY ALL)
 SELECT doc_id, line, pages FROM c JOIN n USING (doc_id) WHERE pages >= greatest(3, floor(n * 0.3))""")
 def e09(s, d):
     p = documents(s, d).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("page", "body"))
@@ -674,15 +657,6 @@ def k10(s, d):
     return ranking.bin_pack(rows, "law_row_id", "pos", "size", 300, 5).select("record_id", "batch")
 
 
-@query("l09_carried", """WITH o AS (SELECT portal_id, min(title) AS title, min(legal_status) AS legal_status FROM law_census WHERE snapshot_date = '2026-04-01' GROUP BY 1), n AS (SELECT portal_id, min(title) AS title, min(legal_status) AS legal_status, bool_or(in_seed = 'true') AS read FROM law_census WHERE snapshot_date = '2026-06-01' GROUP BY 1)
-SELECT portal_id, coalesce(n.title, o.title) AS title, CASE WHEN n.portal_id IS NULL THEN o.legal_status WHEN NOT coalesce(read, false) AND o.portal_id IS NOT NULL THEN o.legal_status ELSE n.legal_status END AS legal_status, CASE WHEN n.portal_id IS NULL THEN 'not listed' END AS carried FROM o FULL JOIN n USING (portal_id)""")
-def l09(s, d):
-    at = lambda day: census(s, d).where(F.col("snapshot_date") == day).groupBy("portal_id")
-    o = at("2026-04-01").agg(F.min("title").alias("title"), F.min("legal_status").alias("legal_status"))
-    n = at("2026-06-01").agg(F.min("title").alias("title"), F.min("legal_status").alias("legal_status"), F.bool_or(F.col("in_seed") == "true").alias("read"))
-    return changes.carried_forward(o, n, "portal_id", F.col("read"), ["legal_status"], "not listed")
-
-
 @query("o10_membership", "SELECT portal_id, bool_or(in_seed = 'true') AS in_seed, bool_or(in_relevant = 'true') AS in_relevant, coalesce(list_sort(list_distinct(flatten(list(string_split(document_kinds, ';')) FILTER (document_kinds IS NOT NULL)))), []) AS kinds FROM law_census GROUP BY 1")
 def o10(s, d):
     kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("document_kinds", ";")))))

@@ -9,7 +9,7 @@ def test_masked_lines_of_any_length(spark, tmp_path):
     long, short = "Printed under the authority of the Department on page 17 of 230", "Page 3"
     texts = [f"{long}\n  {short} \n\nonce", f"{long}\n{short}", f"{long.replace('17', '9')}\nPage 12\nonce"]
     spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = Counter({r.line: r.n for r in catalog.QUERIES["i42_masked_lines_all"](spark, str(tmp_path)).collect()})
+    got = Counter({r.line: r.n for r in catalog.QUERIES["i42_masked_lines"](spark, str(tmp_path)).collect()})
     assert got == {"Printed under the authority of the Department on page # of #": 3, "Page #": 3}
     assert max(map(len, got)) > 40
 
@@ -26,5 +26,5 @@ def test_prefix_amendments_of_every_economy(spark, tmp_path):
     data = [(i, "2026-03-01", *k, "5/1950" if k[1] == "d" else None, "principal_act", v) for i, (k, v) in enumerate(names.items())]
     df = spark.createDataFrame(data, "row_id long, snapshot_date string, economy string, portal_id string, title string, law_number string, document_kinds string, last_amending_instrument string")
     df.selectExpr("*", "timestamp '2026-03-01 00:00:00' AS delivered_at").write.parquet(f"{tmp_path}/law_census.parquet")
-    got = sorted((r.economy, r.portal_id, r.dated, r.amending, r.amended) for r in catalog.QUERIES["o07_prefix_amendments_all"](spark, str(tmp_path)).collect())
+    got = sorted((r.economy, r.portal_id, r.dated, r.amending, r.amended) for r in catalog.QUERIES["o07_prefix_amendments"](spark, str(tmp_path)).collect())
     assert got == [("AU", "D", 1950, "Timber Parcel Export Amendment Act 1980", 1980), ("MY", "B", 1990, "Wine Amendment (Fees) Act 2005", 2005)]
