@@ -6,32 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.ranking import ranked
-from quillspark.session import broadcast_if_small
+from quillspark.session import broadcast_if_small, cut
 
 #: English words that no query is about.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "with")
 
 
+#: Letters of words, and of scripts that set no blanks between words.
+WORD, UNSPACED = "a-z0-9à-ɏ", "฀-๿຀-໿"
+#: Plural endings (the letters before, the ending, what stays of it), tried in this order.
+ENDINGS = (("b-df-z0-9à-ɏ", "ies", "y"), ("b-df-np-z0-9à-ɏ", "es", "e"), ("a-rtv-z0-9à-ɏ", "s", ""))
+#: Marks the row that holds a document's length.
+_LENGTH = "\x00"
+
+
 def terms(c):
-    """Words of Latin text in small letters, without stop words; ideographs one by one."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9à-ɏ]+|[一-鿿]"), 0)
-    return F.filter(words, lambda w: ~w.isin(*STOP))
+    """Words of Latin text in small letters without plural endings and stop words, ideographs one by one, and each two
+    letters in a row of Lao and Thai."""
+    low = F.lower(c)
+    for before, ending, stays in ENDINGS:
+        low = F.regexp_replace(low, f"([{before}]){ending}(?![{WORD}])", f"$1{stays}")
+    words = F.filter(F.regexp_extract_all(low, F.lit(f"[{WORD}]+|[一-鿿]"), 0), lambda w: ~w.isin(*STOP))
+    return F.concat(words, F.regexp_extract_all(low, F.lit(f"(?=([{UNSPACED}]{{2}}))"), 1))
 
 
 def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The ``k`` best documents of each query by BM25 (G01): ``query_id, doc_id, score, rank``.
 
-    Only terms of queries are counted beyond a document's length; they are broadcast if few. Counts come from all
-    documents. Null and empty texts have no terms. Ties go to the lower doc_id."""
+    Texts are read once: of each document its length and its counts of terms of the queries are written, all else stays
+    where it is. The terms are broadcast if few. Null and empty texts have no terms. Ties go to the lower doc_id."""
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
+    spark = docs.sparkSession
     bags = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t")).withColumn("len", F.size("t")).where("len > 0")
-    stats = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    few = broadcast_if_small(wanted.select("term").distinct())
-    tf = bags.select("doc_id", "len", F.explode("t").alias("term")).join(few, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    few = broadcast_if_small(wanted.select("term").unionByName(spark.createDataFrame([(_LENGTH,)], "term string")).distinct())
+    counted = bags.select("doc_id", "len", F.explode(F.array_append("t", F.lit(_LENGTH))).alias("term")).join(few, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = cut(counted, "terms")
+    stats = counted.where(F.col("term") == _LENGTH).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+    tf = counted.where(F.col("term") != _LENGTH)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = df.crossJoin(F.broadcast(stats)).select("term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scores = tf.join(F.broadcast(idf), "term").join(broadcast_if_small(wanted), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    scores = tf.join(broadcast_if_small(cut(idf, "idf")), "term").join(broadcast_if_small(wanted), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scores, ["query_id"], [F.desc("score"), F.col("doc_id")]).where(F.col("rank") <= k)
 
 

@@ -339,7 +339,19 @@ def f30(s, d):
 # G: retrieval, order, chunks
 
 
-@query("g01_bm25")
+def _terms_sql(c: str) -> str:
+    stem = "x"
+    for before, ending, stays in retrieval.ENDINGS:
+        stem = f"regexp_replace({stem}, '([{before}]){ending}$', '\\1{stays}')"
+    words = f"list_filter(list_transform(regexp_extract_all(lower({c}), '[{retrieval.WORD}]+|[一-鿿]'), lambda x: {stem}), lambda x: x NOT IN ({', '.join(repr(w) for w in retrieval.STOP)}))"
+    pairs = f"flatten(list_transform(regexp_extract_all(lower({c}), '[{retrieval.UNSPACED}]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i::INT, 2))))"
+    return f"list_concat({words}, {pairs})"
+
+
+@query("g01_bm25", f"""WITH b AS (SELECT doc_id, {_terms_sql('text')} AS t FROM documents), l AS (SELECT doc_id, t, len(t) AS len FROM b WHERE len(t) > 0), st AS (SELECT count(*) AS n, avg(len) AS avg FROM l), q AS (SELECT item_id AS query_id, unnest(list_distinct({_terms_sql('text')})) AS term FROM gold_items),
+tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len, unnest(t) AS term FROM l) WHERE term IN (SELECT term FROM q) GROUP BY ALL), i AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term, n),
+sc AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN i USING (term) JOIN q USING (term), st GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 10""")
 def g01(s, d):
     return retrieval.bm25(documents(s, d), "doc_id", "text", table(s, d, "gold_items"), "item_id", "text", 10)
 

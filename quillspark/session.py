@@ -53,12 +53,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is made, and removed when the process ends."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made if all runs on
+    one machine (tests), and removed when the process ends; on a cluster it is an error, as executors wouldn't find what
+    others wrote."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     global _own
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="quillspark-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
@@ -86,14 +89,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def small(df: DataFrame, most_rows: int) -> bool:
-    """True if ``df`` has at most ``most_rows`` rows: the check before a broadcast or a collect. It counts no further
-    than the limit."""
-    return df.limit(most_rows + 1).count() <= most_rows
+#: What a broadcast or a collect may have at most, whatever its rows are: bytes before compression.
+MOST_BYTES = 256 << 20
+
+
+def _bytes_of(field) -> Column:
+    kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+    if kind in ("string", "binary"):
+        return F.octet_length(c)
+    return F.length(F.to_json(F.struct(c))) if kind in ("array", "map", "struct") else F.lit(8)
+
+
+def small(df: DataFrame, most_rows: int, most_bytes: int = MOST_BYTES) -> bool:
+    """True if ``df`` has at most ``most_rows`` rows and ``most_bytes`` bytes: the check before a broadcast or a collect. It counts
+    no further than the limit of rows."""
+    size = sum((F.coalesce(_bytes_of(f), F.lit(0)) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    found = df.limit(most_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= most_rows and found["bytes"] <= most_bytes
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most_rows`` rows, else as it is (a shuffled join)."""
+    """``df`` with a broadcast hint if it is ``small``, else as it is (a shuffled join)."""
     return F.broadcast(df) if small(df, most_rows) else df
 
 

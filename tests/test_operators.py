@@ -153,3 +153,40 @@ def test_segments(spark):
     assert [x[1] for x in rows(segments.greedy_groups(g, "g", "k", "w"), "k", "group_key")] == [1, 1, 3, 4]
     e = spark.createDataFrame([("ab  cd", "ab ce"), ("", "x")], "a string, b string")
     assert [r[0] for r in e.select(segments.error_rate(F.col("a"), F.col("b"))).collect()] == [0.2, None]
+
+
+def test_small_counts_rows_and_bytes(spark):
+    from quillspark.session import small
+
+    df = spark.createDataFrame([(i, "x" * 1000, [1, 2]) for i in range(20)], "i long, s string, a array<int>")
+    assert small(df, 20) and not small(df, 19) and not small(df, 20, most_bytes=15_000) and small(df.limit(0), 0)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    import pytest
+
+    from quillspark import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Conf())
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster())
+    Cluster.conf.get = lambda *_: "file:///shared/"
+    assert session.shared_dir(Cluster()) == "file:///shared"
+
+
+def test_terms_of_scripts_without_blanks(spark):
+    from quillspark.operators.retrieval import terms
+
+    df = spark.createDataFrame([("Policies of the boxes and registers, us",), ("ກົດໝາຍ",), ("กฎ 法",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(terms(F.col("t"))).collect()]
+    assert got[0] == ["policy", "boxe", "register", "us"] and got[1] == ["ກົ", "ົດ", "ດໝ", "ໝາ", "າຍ"] and got[2] == ["法", "กฎ"] and got[3] == [] and got[4] is None
