@@ -116,3 +116,68 @@ def greedy_groups(df: DataFrame, by: str, key: str, tokens: str, least: float =
         return g.assign(group_key=out)
 
     return df.groupBy(by).applyInPandas(group, f"{fields}, group_key {kind}")
+
+
+def repair_sequence(numbers: list[int | None], drift: int = 3) -> tuple[list[int], int]:
+    """Numbers of headings in order, with those repaired that reading got wrong, and how many were (F15): a number up to
+    ``drift`` above the expected one is accepted; one whose successor follows it starts a new count; any other becomes the
+    expected one. Unread numbers (None) are repaired."""
+    out, repaired, expected = [], 0, None
+    for k, n in enumerate(numbers):
+        after = numbers[k + 1] if k + 1 < len(numbers) else None
+        fits = n is not None and (expected is None or expected <= n <= expected + drift or after == n + 1)
+        if not fits:
+            n, repaired = expected if expected is not None else 1, repaired + 1
+        out.append(n)
+        expected = n + 1
+    return out, repaired
+
+
+def stitched_body(numbers: list[int], continues: int = 3) -> list[int]:
+    """Places of the headings that form the body of a text (F10): of the runs of rising numbers the widest, with the runs
+    before and after it that continue it (their numbers lie beyond its ends by at most ``continues``); of a number that comes
+    again only the first place counts."""
+    runs: list[list[int]] = []
+    for k, n in enumerate(numbers):
+        if runs and n >= numbers[runs[-1][-1]]:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    if not runs:
+        return []
+    widest = max(range(len(runs)), key=lambda r: (numbers[runs[r][-1]] - numbers[runs[r][0]], len(runs[r]), -r))
+    body = list(runs[widest])
+    for r in range(widest + 1, len(runs)):
+        if 0 < numbers[runs[r][0]] - numbers[body[-1]] <= continues:
+            body += runs[r]
+    for r in range(widest - 1, -1, -1):
+        if 0 < numbers[body[0]] - numbers[runs[r][-1]] <= continues:
+            body = runs[r] + body
+    seen: set[int] = set()
+    return [k for k in body if not (numbers[k] in seen or seen.add(numbers[k]))]
+
+
+def bodies(df: DataFrame, key: str, text: str, pattern: str = HEADING) -> DataFrame:
+    """Per text with headings (F10, F15): ``key``, ``numbers`` as read, ``repaired`` numbers, how many were repaired, and the
+    ``body``: places in the list that belong to it. Each text is decided by itself, in Arrow batches; null texts give none."""
+    found = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), 3), lambda x: F.regexp_extract(x, "([0-9]+)", 1).try_cast("int"))
+    src = df.select(key, found.alias("numbers")).where(F.size("numbers") > 0)
+
+    def fold(batches):
+        for b in batches:
+            lists = [[None if pd.isna(n) else int(n) for n in x] for x in b["numbers"]]
+            done = [repair_sequence(x) for x in lists]
+            yield b.assign(numbers=pd.Series(lists, dtype=object, index=b.index), repaired=pd.Series([d[0] for d in done], dtype=object, index=b.index), repairs=[d[1] for d in done], body=pd.Series([stitched_body(d[0]) for d in done], dtype=object, index=b.index))
+
+    kind = df.schema[key].dataType.simpleString()
+    return src.mapInPandas(fold, f"`{key}` {kind}, numbers array<int>, repaired array<int>, repairs int, body array<int>")
+
+
+def nearest_occurrence(text: Column, needle: str, hint: Column) -> Column:
+    """Place (from 0) of the occurrence of ``needle`` nearest to ``hint``, the first of equals; null without one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("best"))
+    here = lambda a, p: a["at"] + F.length(p)
+    nearer = lambda a, p: a["best"].isNull() | (F.abs(here(a, p) - hint) < F.abs(a["best"] - hint))
+    step = lambda a, p: F.struct((here(a, p) + len(needle)).alias("at"), F.when(nearer(a, p), here(a, p)).otherwise(a["best"]).alias("best"))
+    parts = F.split(text, rf"\Q{needle}\E")
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda a: a["best"])

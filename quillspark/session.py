@@ -71,13 +71,19 @@ def shared_dir(spark: SparkSession) -> str:
 _own: str | None = None
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there is deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: the lineage ends there, and a lost executor
     takes nothing with it. The table is deleted when the driver's process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -190,3 +190,25 @@ def test_terms_of_scripts_without_blanks(spark):
     df = spark.createDataFrame([("Policies of the boxes and registers, us",), ("ກົດໝາຍ",), ("กฎ 法",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(terms(F.col("t"))).collect()]
     assert got[0] == ["policy", "boxe", "register", "us"] and got[1] == ["ກົ", "ົດ", "ດໝ", "ໝາ", "າຍ"] and got[2] == ["法", "กฎ"] and got[3] == [] and got[4] is None
+
+
+def test_repaired_sequences():
+    assert segments.repair_sequence([1, 2, 8, 4, 5]) == ([1, 2, 3, 4, 5], 1)  # a number misread
+    assert segments.repair_sequence([1, 2, 3, 1, 2]) == ([1, 2, 3, 1, 2], 0)  # a new count
+    assert segments.repair_sequence([1, 4, None, 6]) == ([1, 4, 5, 6], 1)
+    assert segments.repair_sequence([]) == ([], 0) and segments.repair_sequence([None]) == ([1], 1)
+
+
+def test_stitched_bodies():
+    # a table of contents, the body, a second part that goes on, a schedule with a count of its own
+    assert segments.stitched_body([1, 2, 3, 1, 2, 3, 4, 5, 6, 6, 7, 1]) == [3, 4, 5, 6, 7, 8, 10]
+    assert segments.stitched_body([4, 5, 6, 2, 3, 4, 5, 6, 7, 8]) == [3, 4, 5, 6, 7, 8, 9]
+    assert segments.stitched_body([5, 1, 2, 3, 9, 2]) == [1, 2, 3, 4] and segments.stitched_body([]) == []
+
+
+def test_bodies_and_nearest(spark):
+    df = spark.createDataFrame([(1, "Section 1\na\nSection 2\nb\nSection 9\nc\nSection 4", "x"), (2, None, "x"), (3, "none", "x")], "k long, t string, numbers string")
+    got = segments.bodies(df, "k", "t").collect()
+    assert [(r.k, r.repaired, r.repairs, r.body) for r in got] == [(1, [1, 2, 3, 4], 1, [0, 1, 2, 3])]
+    near = lambda t, n, h: spark.createDataFrame([(t, h)], "t string, h int").select(segments.nearest_occurrence(F.col("t"), n, F.col("h"))).first()[0]
+    assert near("ab.ab.ab", "ab", 4) == 3 and near("xx", "ab", 0) is None and near("a.b a.b", "a.b", 100) == 4 and near(None, "a", 1) is None
