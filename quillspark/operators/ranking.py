@@ -10,12 +10,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import broadcast_if_small, cut
+
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:
     """Rank from 1 within ``by``; ``order`` must end in a unique column."""
     return df.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def beside(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with the other columns of ``stats``, which has one row per ``by``; null keys meet each other."""
+    renamed = stats.select(*[F.col(c).alias(f"{c}__") for c in by], *[c for c in stats.columns if c not in by])
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in by])
+    return df.join(broadcast_if_small(renamed), on, "left").drop(*[f"{c}__" for c in by])
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:
+    """``ranked`` for groups of any size: rows are split into ranges of ``by`` and ``order``, each range is numbered by itself,
+    and what the ranges before it hold of the group is added. No task has more than a range, however large a group is. Where
+    only the first few of a group are wanted, ``ranked`` with a limit moves less."""
+    ranges = cut(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy(*by, "range_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    own = ranges.withColumn("own_", F.row_number().over(Window.partitionBy(*by, "range_").orderBy(*order)))
+    return beside(own, starts, [*by, "range_"]).withColumn(into, F.col("start_") + F.col("own_")).drop("range_", "start_", "own_")
+
+
 def select_cells(df: DataFrame, cell: Sequence[str], score: str, key: str, theta: Column, floor: Column, ceiling: Column, direct: float = 0.65, sparse: DataFrame | None = None, topup: Column | None = None) -> DataFrame:
     """Threshold selection with floor and ceiling per cell (F01): of R rows, T reach theta; the best
     N = least(ceiling, greatest(T, least(floor, R))) stay, with ``band`` direct or gray and ``bound``, what stopped it:
@@ -24,10 +45,9 @@ def select_cells(df: DataFrame, cell: Sequence[str], score: str, key: str, theta
     ``sparse`` is the sparse leg, with ``cell``, ``key`` and ``rank`` from 1: of each cell its first ``topup`` rows (none by
     default) that aren't chosen yet come after the choice as gray, beyond the ceiling too, also in cells without other
     rows; their other columns are null. ``floor`` and ``topup`` are read from its rows as well."""
-    w = Window.partitionBy(*cell)
-    out = ranked(df, cell, [F.desc_nulls_last(score), F.col(key)], "rank")
-    out = out.withColumn("t_", F.sum((F.col(score) >= theta).cast("int")).over(w)).withColumn("r_", F.count(F.lit(1)).over(w))
-    t = F.coalesce("t_", F.lit(0))
+    sizes = df.groupBy(*cell).agg(F.count_if(F.col(score) >= theta).alias("t_"), F.count(F.lit(1)).alias("r_"))
+    out = beside(numbered(df, cell, [F.desc_nulls_last(score), F.col(key)], "rank"), sizes, cell)
+    t = F.col("t_")
     out = out.withColumn("n_", F.least(ceiling, F.greatest(t, F.least(floor, F.col("r_")))))
     bound = F.when((F.col("r_") > F.col("n_")) & (F.col("n_") == ceiling), "max").when(t < floor, F.when(F.col("r_") < floor, "exhausted").otherwise("min")).otherwise("theta")
     band = F.when((F.col(score) >= theta) & (F.col(score) >= direct), "direct").otherwise("gray")
@@ -55,12 +75,12 @@ def fuse(legs: Sequence[DataFrame], cell: Sequence[str], key: str, constant: int
 
 def fill_quota(df: DataFrame, cell: Sequence[str], best: Sequence[Column], slots: int) -> DataFrame:
     """Breadth-first fill (F08): one row of every cell, then second rows, until ``slots`` are full."""
-    return ranked(df, cell, best, "round").orderBy("round", *cell).limit(slots)
+    return ranked(df, cell, best, "round").where(F.col("round") <= slots).orderBy("round", *cell).limit(slots)  # a cell can fill no more
 
 
 def ordinals(df: DataFrame, by: Sequence[str], order: Sequence[Column], citation: str, into: str) -> DataFrame:
     """The nth repeat of a citation gets ``~n``, the first none."""
-    out = ranked(df, [*by, citation], order, "n_")
+    out = numbered(df, [*by, citation], order, "n_")
     return out.withColumn(into, F.when(F.col("n_") > 1, F.concat(F.col(citation), F.lit("~"), F.col("n_").cast("string"))).otherwise(F.col(citation))).drop("n_")
 
 

@@ -269,7 +269,7 @@ def f01(s, d):
 SELECT cell, k, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, count(*) AS legs FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
 def f04(s, d):
     o = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("cell"), F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("m"), F.count(F.lit(1)).alias("n"))
-    a, b = ranking.ranked(o, ["cell"], [F.desc("m"), F.col("k")]), ranking.ranked(o, ["cell"], [F.desc("n"), F.col("k")])
+    a, b = ranking.numbered(o, ["cell"], [F.desc("m"), F.col("k")]), ranking.numbered(o, ["cell"], [F.desc("n"), F.col("k")])
     return ranking.fuse([a, b], ["cell"], "k")
 
 
@@ -568,7 +568,7 @@ def o30(s, d):
 
 @query("k09_batches", "SELECT record_id, ((row_number() OVER (PARTITION BY source_url ORDER BY record_id) - 1) // 20)::BIGINT AS batch FROM records_la")
 def k09(s, d):
-    n = ranking.ranked(records(s, d).select("record_id", "source_url"), ["source_url"], [F.col("record_id")], "n")
+    n = ranking.numbered(records(s, d).select("record_id", "source_url"), ["source_url"], [F.col("record_id")], "n")
     return n.select("record_id", F.floor((F.col("n") - 1) / 20).alias("batch"))
 
 

@@ -212,3 +212,12 @@ def test_bodies_and_nearest(spark):
     assert [(r.k, r.repaired, r.repairs, r.body) for r in got] == [(1, [1, 2, 3, 4], 1, [0, 1, 2, 3])]
     near = lambda t, n, h: spark.createDataFrame([(t, h)], "t string, h int").select(segments.nearest_occurrence(F.col("t"), n, F.col("h"))).first()[0]
     assert near("ab.ab.ab", "ab", 4) == 3 and near("xx", "ab", 0) is None and near("a.b a.b", "a.b", 100) == 4 and near(None, "a", 1) is None
+
+
+def test_numbered_like_ranked(spark):
+    rows_ = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 7}", random.Random(i).randint(0, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows_, "i int, k string, v int").repartition(5)
+    order = [F.desc("v"), F.col("i")]
+    pick = lambda x: sorted((r.i, r.rank) for r in x.collect())
+    assert pick(ranking.numbered(df, ["k"], order)) == pick(ranking.ranked(df, ["k"], order))
+    assert ranking.numbered(df.limit(0), ["k"], order).count() == 0
