@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from quillspark.session import broadcast_if_small, cut
 
 
+#: Rows of a group that a task looks at together where a window slides over it.
+STRETCH = 100_000
+
+
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:
     """Rank from 1 within ``by``; ``order`` must end in a unique column."""
     return df.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -25,16 +29,23 @@ def beside(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(broadcast_if_small(renamed), on, "left").drop(*[f"{c}__" for c in by])
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:
-    """``ranked`` for groups of any size: rows are split into ranges of ``by`` and ``order``, each range is numbered by itself,
-    and what the ranges before it hold of the group is added. No task has more than a range, however large a group is. Where
-    only the first few of a group are wanted, ``ranked`` with a limit moves less."""
-    ranges = cut(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range_", F.spark_partition_id()), "ranges")
-    sizes = ranges.groupBy(*by, "range_").agg(F.count(F.lit(1)).alias("n_"))
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, into: str) -> DataFrame:
+    """The sum of ``value`` from the first row of ``by`` to each row, in ``order``, for groups of any size: rows are split into
+    ranges of ``by`` and ``order``, each range is summed by itself, and what the ranges before it hold of the group is added.
+    No task has more than a range, however large a group is. Rows alike in ``order`` are in one range."""
+    ranges = cut(df.withColumn("value_", value).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(*by, "range_").agg(F.sum("value_").alias("n_"))
     before = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
-    own = ranges.withColumn("own_", F.row_number().over(Window.partitionBy(*by, "range_").orderBy(*order)))
-    return beside(own, starts, [*by, "range_"]).withColumn(into, F.col("start_") + F.col("own_")).drop("range_", "start_", "own_")
+    starts = sums.select(*by, "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    upto = Window.partitionBy(*by, "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranges.withColumn("own_", F.sum("value_").over(upto))
+    return beside(own, starts, [*by, "range_"]).withColumn(into, F.col("start_") + F.col("own_")).drop("range_", "start_", "own_", "value_")
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:
+    """``ranked`` for groups of any size, as a ``running`` count. Where only the first few of a group are wanted, ``ranked`` with
+    a limit moves less."""
+    return running(df, by, order, F.lit(1), into)
 
 
 def select_cells(df: DataFrame, cell: Sequence[str], score: str, key: str, theta: Column, floor: Column, ceiling: Column, direct: float = 0.65, sparse: DataFrame | None = None, topup: Column | None = None) -> DataFrame:
@@ -110,15 +121,20 @@ def widest_run(df: DataFrame, by: Sequence[str], order: str, number: str) -> Dat
 
 def streaks(df: DataFrame, by: Sequence[str], order: Sequence[str], bad: Column, most: int) -> DataFrame:
     """Stretches of at least ``most`` bad outcomes in a row (F29): ``by``, ``streak``, ``from``, ``until``, ``length``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    marked = df.withColumn("bad_", F.coalesce(bad, F.lit(False))).withColumn("streak", F.sum((~F.col("bad_")).cast("int")).over(w)).where("bad_")
+    marked = running(df.withColumn("bad_", F.coalesce(bad, F.lit(False))), by, [F.col(c) for c in order], (~F.col("bad_")).cast("int"), "streak").where("bad_")
     return marked.groupBy(*by, "streak").agg(F.min(order[0]).alias("from"), F.max(order[0]).alias("until"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= most)
 
 
 def sliding_mix(df: DataFrame, by: Sequence[str], order: Sequence[str], outcome: str, of: int = 40) -> DataFrame:
-    """For every row the share of bad outcomes among the last ``of``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - of, 0)
-    return df.withColumn("seen", F.count(F.lit(1)).over(w)).withColumn("share", F.round(F.avg(F.when(F.col(outcome) == "ok", 0.0).otherwise(1.0)).over(w), 6))
+    """For every row the share of bad outcomes among the last ``of`` (F29, O31). A group is cut into stretches of ``STRETCH`` rows,
+    each with the few rows before it, so no task has all rows of a group."""
+    n = numbered(df, by, [F.col(c) for c in order], "n_").withColumn("at_", F.floor((F.col("n_") - 1) / STRETCH))
+    # the last rows of a stretch are seen by the next one as well
+    late = F.when((F.col("n_") - 1) % STRETCH >= STRETCH - (of - 1), F.array("at_", F.col("at_") + 1)).otherwise(F.array("at_"))
+    n = n.withColumn("in_", F.explode(late))
+    w = Window.partitionBy(*by, "in_").orderBy("n_").rowsBetween(1 - of, 0)
+    out = n.withColumn("seen", F.count(F.lit(1)).over(w)).withColumn("share", F.round(F.avg(F.when(F.col(outcome) == "ok", 0.0).otherwise(1.0)).over(w), 6))
+    return out.where("in_ = at_").drop("n_", "at_", "in_")
 
 
 def forward_fill(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -221,3 +221,11 @@ def test_numbered_like_ranked(spark):
     pick = lambda x: sorted((r.i, r.rank) for r in x.collect())
     assert pick(ranking.numbered(df, ["k"], order)) == pick(ranking.ranked(df, ["k"], order))
     assert ranking.numbered(df.limit(0), ["k"], order).count() == 0
+
+
+def test_sliding_over_stretches(spark, monkeypatch):
+    df = spark.createDataFrame([("h" if i % 4 else None, i, "ok" if i % 3 else "bad") for i in range(120)], "h string, t int, o string")
+    pick = lambda: sorted((r.t, r.seen, r.share) for r in ranking.sliding_mix(df, ["h"], ["t"], "o", 7).collect())
+    whole = pick()
+    monkeypatch.setattr(ranking, "STRETCH", 10)
+    assert pick() == whole and len(whole) == 120
