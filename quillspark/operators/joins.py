@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.urls import host, suffixes
-from quillspark.session import broadcast_if_small
+from quillspark.session import broadcast_if_small, cut
 
 
 def merge_by_precedence(frames: Sequence[tuple[str, DataFrame]], key: str, columns: Sequence[str]) -> DataFrame:
@@ -88,3 +88,30 @@ def prefix_pairs(a: DataFrame, b: DataFrame, by: str, left: str, right: str) ->
     longer = prefixes(b, right).join(broadcast_if_small(a), same & (F.col("p_") == F.col(left)))
     shorter = prefixes(a, left).join(broadcast_if_small(b), same & (F.col("p_") == F.col(right))).where(F.col(left) != F.col(right))
     return longer.unionByName(shorter).drop("by_", "p_")
+
+
+def best_overlap(left: DataFrame, right: DataFrame, on: Sequence[str], tokens: str, left_id: str, right_id: str, least: float) -> DataFrame:
+    """For each ``left_id`` the ``right_id`` whose token set has most in common with its own, in share of the smaller set, at
+    least ``least`` (D06, D21): ``left_id, right_id, score``; of equals the lower id. Both sides have ``on`` (compared null-safe
+    as text), ``tokens`` (distinct) and an id; empty sets match nothing.
+
+    Exact, without pairs of all rows in a cell: of the smaller set so many tokens must be shared that one of its first
+    |set| - ceil(least * |set|) + 1, rarest first, is. Only these are looked up in the other side's tokens."""
+    side = lambda df, i: df.select(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in on]).alias("cell_"), F.col(i).alias("id_"), F.col(tokens).alias("set_")).where(F.size("set_") > 0)
+    a, b = cut(side(left, left_id), "left"), cut(side(right, right_id), "right")
+    held = a.select(F.explode("set_").alias("t_")).unionByName(b.select(F.explode("set_").alias("t_"))).groupBy("t_").agg(F.count(F.lit(1)).alias("n_"))
+    held = broadcast_if_small(cut(held, "tokens"))
+
+    def rarest(df: DataFrame) -> DataFrame:
+        t = df.select("cell_", "id_", "set_", F.explode("set_").alias("t_")).join(held, "t_")
+        t = t.groupBy("cell_", "id_", "set_").agg(F.array_sort(F.collect_list(F.struct("n_", "t_"))).alias("o_"))
+        first = F.size("set_") - F.ceil(F.size("set_") * F.lit(least) - 1e-9).cast("int") + 1
+        return t.select("cell_", "id_", "set_", F.explode(F.slice("o_", F.lit(1), first)).alias("x_")).select("cell_", "id_", "set_", F.col("x_.t_").alias("t_"))
+
+    every = lambda df, p: df.select("cell_", F.col("id_").alias(p), F.col("set_").alias(f"{p}_set"), F.explode("set_").alias("t_"))
+    some = lambda df, p: rarest(df).select("cell_", F.col("id_").alias(p), F.col("set_").alias(f"{p}_set"), "t_")
+    smaller = some(a, "l").join(every(b, "r"), ["cell_", "t_"]).where(F.size("l_set") <= F.size("r_set"))
+    larger = every(a, "l").join(some(b, "r"), ["cell_", "t_"]).where(F.size("l_set") > F.size("r_set"))
+    score = F.round(F.size(F.array_intersect("l_set", "r_set")) / F.least(F.size("l_set"), F.size("r_set")), 6)
+    found = smaller.unionByName(larger).select("l", "r", score.alias("score")).where(F.col("score") >= least)
+    return found.groupBy("l").agg(F.max("score").alias("score"), F.min_by("r", F.struct((-F.col("score")).alias("s"), F.col("r").alias("i"))).alias("r")).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "score")

@@ -42,7 +42,7 @@ def f10(s, d):
     return segments.bodies(documents(s, d), "doc_id", "text")
 
 
-@query("f11_sections_whole", r"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents), p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
+@query("f11_sections", r"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents), p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
 h AS (SELECT doc_id, length(text) AS n, start, regexp_extract(line, '^((?:PART|Division|CAPÍTULO|BAB|ໝວດທີ)|(?:Section|Artigo|Pasal|ມາດຕາ|Article)) ([0-9]+[A-Z]?)', ['unit', 'number']) AS x FROM p WHERE regexp_matches(line, '^(?:(?:PART|Division|CAPÍTULO|BAB|ໝວດທີ)|(?:Section|Artigo|Pasal|ມາດຕາ|Article)) [0-9]'))
 SELECT doc_id, x.unit AS unit, x.number AS number, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS "end" FROM h""")
 def f11(s, d):

@@ -182,15 +182,6 @@ def d19(s, d):
     return table(s, d, "baseline_la").join(records(s, d).select("law_name").distinct(), "law_name", "left_anti").select("baseline_id")
 
 
-@query("d06_best_match")
-def d06(s, d):
-    b = table(s, d, "baseline_la").select("baseline_id", F.col("indicator_id").alias("cell"), text.tokens(F.col("law_name"), "pure").alias("b")).where(F.size("b") > 1)
-    r = records(s, d).select("record_id", F.col("indicator_id").alias("cell"), F.col("law_name"))
-    names = r.select("cell", "law_name").distinct().withColumn("a", text.tokens(F.col("law_name"), "pure")).where(F.size("a") > 1).withColumn("name_id", F.xxhash64("cell", "law_name"))
-    best = joins.best_match(names, b, ["cell"], F.round(text.overlap(F.col("a"), F.col("b")), 6), 0.85, "name_id", "baseline_id")
-    return r.withColumn("name_id", F.xxhash64("cell", "law_name")).join(best, "name_id").select("record_id", "baseline_id", "score")
-
-
 # E: aggregations
 
 
@@ -356,6 +347,17 @@ def g01(s, d):
     return retrieval.bm25(documents(s, d), "doc_id", "text", table(s, d, "gold_items"), "item_id", "text", 10)
 
 
+@query("d06_best_match", f"""WITH r AS (SELECT DISTINCT indicator_id, law_name, list_distinct({_terms_sql('law_name')}) AS a FROM records_la WHERE law_name IS NOT NULL), b AS (SELECT baseline_id, indicator_id, list_distinct({_terms_sql('law_name')}) AS b FROM baseline_la WHERE law_name IS NOT NULL), p AS (SELECT r.indicator_id, r.law_name, baseline_id, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) AS score FROM r JOIN b ON r.indicator_id IS NOT DISTINCT FROM b.indicator_id WHERE len(a) > 1 AND len(b) > 1)
+SELECT x.record_id, p.baseline_id, p.score FROM records_la x JOIN (SELECT * FROM p WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY indicator_id, law_name ORDER BY score DESC, baseline_id) = 1) p ON x.indicator_id IS NOT DISTINCT FROM p.indicator_id AND x.law_name = p.law_name""")
+def d06(s, d):
+    name = F.concat_ws("|", F.coalesce("indicator_id", F.lit("\x00")), F.col("law_name")).alias("name")
+    words = F.array_distinct(retrieval.terms(F.col("law_name"))).alias("t")
+    r = records(s, d).where("law_name IS NOT NULL").select("record_id", name, "indicator_id", "law_name")
+    names = r.select("name", "indicator_id", "law_name").distinct().select("name", "indicator_id", words).where(F.size("t") > 1)
+    b = table(s, d, "baseline_la").where("law_name IS NOT NULL").select("baseline_id", "indicator_id", words).where(F.size("t") > 1)
+    return r.join(joins.best_overlap(names, b, ["indicator_id"], "t", "name", "baseline_id", 0.85), "name").select("record_id", "baseline_id", "score")
+
+
 @query("g02_nearest", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p QUALIFY rank <= 10""")
 def g02(s, d):
@@ -607,11 +609,6 @@ def e09(s, d):
     return aggregates.furniture(p, "doc_id", "page", "body")
 
 
-@query("f11_sections")
-def f11(s, d):
-    return segments.sections(documents(s, d), "doc_id", "text").select("doc_id", "unit", "number", "start", "end")
-
-
 @query("f21_corrected", "SELECT record_id, law_name, CASE WHEN lower(trim(discovery_tag)) = 'known' THEN '0.0' ELSE indicator_id END AS indicator_id FROM records_la WHERE coalesce(confidence <> '0.6', true)")
 def f21(s, d):
     # decisions as a reviewer might log them: doubtful rows rejected, known ones given another indicator

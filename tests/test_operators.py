@@ -229,3 +229,18 @@ def test_sliding_over_stretches(spark, monkeypatch):
     whole = pick()
     monkeypatch.setattr(ranking, "STRETCH", 10)
     assert pick() == whole and len(whole) == 120
+
+
+def test_best_overlap_against_all_pairs(spark):
+    r = random.Random(4)
+    some = lambda: sorted({r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 6))})
+    left = [(i, r.choice(["x", "y", None]), some()) for i in range(80)]
+    right = [(i, r.choice(["x", "y", None]), some()) for i in range(60)]
+    schema = "{} int, c string, t array<string>"
+    got = {x.i: (x.j, x.score) for x in joins.best_overlap(spark.createDataFrame(left, schema.format("i")), spark.createDataFrame(right, schema.format("j")), ["c"], "t", "i", "j", 0.7).collect()}
+    want = {}
+    for i, c, a in left:
+        scored = [(-round(len(set(a) & set(b)) / min(len(a), len(b)), 6), j) for j, d, b in right if c == d and a and b]
+        if scored and -min(scored)[0] >= 0.7:
+            want[i] = (min(scored)[1], -min(scored)[0])
+    assert got == want and len(want) > 30
