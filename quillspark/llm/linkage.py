@@ -285,7 +285,9 @@ def link(records: DataFrame, entries: DataFrame) -> DataFrame:
     pairs_of_titles = records.select("lk", "en").unionByName(entries.select("lk", "en")).where("lk IS NOT NULL AND en IS NOT NULL")
     lexicon = pairs_of_titles.groupBy("lk", "en").count().groupBy("lk").agg(F.max_by("en", F.struct("count", "en")).alias("en_of"))
     lexicon = broadcast_if_small(cut(lexicon, "titles"))
-    r = _translated(records, lexicon).withColumn("keys", _keys())
+    # comparing titles costs much more than moving rows, and the rows of few files would be compared in few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = _translated(records, lexicon).repartition(tasks, "id").withColumn("keys", _keys())
     b = _translated(entries, lexicon).withColumn("keys", _keys())
     explode = lambda x, name: x.select(F.struct(*x.columns).alias(name), F.posexplode("keys").alias("pass", "key")).where("key IS NOT NULL")
     one, many = explode(b, "b"), explode(r, "r")
