@@ -32,3 +32,9 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 def duplicates(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Values that several rows share (A04, H05): ``by``, ``rows``, ``first``."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("first")).where("rows > 1")
+
+
+def column_headed(df: DataFrame, heading: str, least: int = 0) -> str | None:
+    """The first column from place ``least`` on whose name begins with ``heading``, letter case and blanks around it aside (F24);
+    None if there is none. It reads the schema only."""
+    return next((c for c in df.columns[least:] if c.strip().lower().startswith(heading.lower())), None)

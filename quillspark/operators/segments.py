@@ -31,7 +31,7 @@ def sections(df: DataFrame, key: str, text: str, pattern: str = HEADING) -> Data
 
 
 def _plain(text: str) -> tuple[str, list[int]]:
-    """NFKC, case and punctuation folded, without white space; and the place of every kept character."""
+    """NFKC, case and punctuation folded, without white space; and the place of every kept character, so that spans map back."""
     out, at = [], []
     for i, ch in enumerate(text):
         for c in unicodedata.normalize("NFKC", ch).casefold():
@@ -181,3 +181,11 @@ def nearest_occurrence(text: Column, needle: str, hint: Column) -> Column:
     step = lambda a, p: F.struct((here(a, p) + len(needle)).alias("at"), F.when(nearer(a, p), here(a, p)).otherwise(a["best"]).alias("best"))
     parts = F.split(text, rf"\Q{needle}\E")
     return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda a: a["best"])
+
+
+def enclosing(starts: Column, start: Column, end: Column, back: int = 6000, ahead: int = 8000) -> Column:
+    """The section around a span (I52): from the last of the headings' ``starts`` (an array) at or before ``start``, at most ``back``
+    before it, to the next at or after ``end``, at most ``ahead`` after it; where there is none the span's own end stays."""
+    before = F.array_max(F.filter(starts, lambda x: (x <= start) & (x >= start - back)))
+    after = F.array_min(F.filter(starts, lambda x: (x >= end) & (x <= end + ahead)))
+    return F.struct(F.coalesce(before, start).alias("start"), F.coalesce(after, end).alias("end"))

@@ -58,6 +58,16 @@ def f11(s, d):
 _HEAD = "^((?:PART|Division|CAPÍTULO|BAB|ໝວດທີ)|(?:Section|Artigo|Pasal|ມາດຕາ|Article)) ([0-9]+[A-Z]?)"
 
 
+@query("i52_enclosing_sections", r"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents), p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
+h AS (SELECT doc_id, length(text) AS n, start, regexp_extract(line, '^((?:PART|Division|CAPÍTULO|BAB|ໝວດທີ)|(?:Section|Artigo|Pasal|ມາດຕາ|Article)) ([0-9]+[A-Z]?)', ['unit', 'number']) AS x FROM p WHERE regexp_matches(line, '^(?:(?:PART|Division|CAPÍTULO|BAB|ໝວດທີ)|(?:Section|Artigo|Pasal|ມາດຕາ|Article)) [0-9]')), g AS (SELECT doc_id, list(start) AS l FROM h GROUP BY 1), t AS (SELECT doc_id, strpos(text, 'shall') - 1 AS a, strpos(text, 'shall') + 4 AS b FROM documents WHERE contains(text, 'shall'))
+SELECT doc_id, coalesce(list_max(list_filter(l, lambda x: x <= a AND x >= a - 6000)), a)::BIGINT AS start, coalesce(list_min(list_filter(l, lambda x: x >= b AND x <= b + 8000)), b)::BIGINT AS "end" FROM t LEFT JOIN g USING (doc_id)""")
+def i52(s, d):
+    starts = f11(s, d).groupBy("doc_id").agg(F.collect_list("start").alias("l"))  # a text's headings: as many as the text has lines at most
+    at = F.expr("instr(text, 'shall') - 1").cast("bigint")
+    t = documents(s, d).where(C("text").contains("shall")).select("doc_id", at.alias("a")).join(starts, "doc_id", "left")
+    return t.select("doc_id", segments.enclosing(C("l"), C("a"), C("a") + 5).alias("s")).select("doc_id", "s.start", "s.end")
+
+
 _STYLES = (("decimal", r"^[0-9]+\.$"), ("plain", r"^(?:Section|Artigo|Pasal|ມາດຕາ) ?[0-9]+"), ("part", r"^(?:PART|Division|CAPÍTULO|BAB|ໝວດທີ) ?[0-9]+"))
 
 

@@ -244,3 +244,11 @@ def test_best_overlap_against_all_pairs(spark):
         if scored and -min(scored)[0] >= 0.7:
             want[i] = (min(scored)[1], -min(scored)[0])
     assert got == want and len(want) > 30
+
+
+def test_column_headed_and_enclosing(spark):
+    df = spark.createDataFrame([("a", "b", "c")], ["Note on law", "x", " notes "])
+    assert checks.column_headed(df, "note") == "Note on law" and checks.column_headed(df, "note", 1) == " notes " and checks.column_headed(df, "law") is None
+    rows_ = spark.createDataFrame([([10, 50, 90], 55, 60), ([], 5, 6), (None, 5, 6), ([9000], 10, 20)], "l array<int>, s int, e int")
+    got = [tuple(r[0]) for r in rows_.select(segments.enclosing(F.col("l"), F.col("s"), F.col("e"))).collect()]
+    assert got == [(50, 90), (5, 6), (5, 6), (10, 20)]
