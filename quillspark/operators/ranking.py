@@ -171,11 +171,14 @@ def bin_pack(df: DataFrame, by: str, order: str, size: str, most_size: int, most
 
 def stratified(df: DataFrame, stratum: Column, shares: dict[str, float], n: int, key: str, seed: int, forced: Column | None = None) -> DataFrame:
     """A sample of ``n`` with stated shares per stratum, in a seeded order; forced rows come first (G08). The sample is
-    the feature; it is taken per stratum by the lowest hashes."""
+    the feature; it is taken per stratum by the lowest hashes. Where a stratum has too few rows, the others named in ``shares``
+    fill its part, lowest hashes first."""
     quota = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(round(n * v)))])
     order = [F.coalesce(forced, F.lit(False)).desc()] if forced is not None else []
-    out = df.withColumn("stratum", stratum).withColumn("rn_", F.row_number().over(Window.partitionBy("stratum").orderBy(*order, F.xxhash64(F.lit(seed), key), key)))
-    return out.where(F.col("rn_") <= F.try_element_at(quota, F.col("stratum"))).drop("rn_")
+    by_hash = [F.xxhash64(F.lit(seed), key), F.col(key)]
+    out = df.withColumn("stratum", stratum).withColumn("rn_", F.row_number().over(Window.partitionBy("stratum").orderBy(*order, *by_hash)))
+    out = out.where(F.col("rn_") <= n).withColumn("over_", F.col("rn_") > F.try_element_at(quota, F.col("stratum"))).where("over_ IS NOT NULL")
+    return out.orderBy("over_", *order, *by_hash).limit(n).drop("rn_", "over_")
 
 
 def spacing(df: DataFrame, by: Sequence[str], at: str, least_seconds: float) -> DataFrame:

@@ -252,3 +252,11 @@ def test_column_headed_and_enclosing(spark):
     rows_ = spark.createDataFrame([([10, 50, 90], 55, 60), ([], 5, 6), (None, 5, 6), ([9000], 10, 20)], "l array<int>, s int, e int")
     got = [tuple(r[0]) for r in rows_.select(segments.enclosing(F.col("l"), F.col("s"), F.col("e"))).collect()]
     assert got == [(50, 90), (5, 6), (5, 6), (10, 20)]
+
+
+def test_stratified_fills_up(spark):
+    df = spark.createDataFrame([(i, "a" if i < 100 else "b" if i < 105 else None if i < 110 else "other") for i in range(150)], "i int, s string")
+    got = ranking.stratified(df, F.col("s"), {"a": 0.5, "b": 0.5}, 40, "i", 3, F.col("i") == 99).collect()
+    n = {x: sum(r.stratum == x for r in got) for x in ("a", "b", "other", None)}
+    assert n == {"a": 35, "b": 5, "other": 0, None: 0} and 99 in {r.i for r in got}
+    assert ranking.stratified(df, F.col("s"), {"a": 0.5, "b": 0.5}, 400, "i", 3).count() == 105
