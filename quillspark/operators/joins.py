@@ -108,10 +108,14 @@ def best_overlap(left: DataFrame, right: DataFrame, on: Sequence[str], tokens: s
         first = F.size("set_") - F.ceil(F.size("set_") * F.lit(least) - 1e-9).cast("int") + 1
         return t.select("cell_", "id_", "set_", F.explode(F.slice("o_", F.lit(1), first)).alias("x_")).select("cell_", "id_", "set_", F.col("x_.t_").alias("t_"))
 
-    every = lambda df, p: df.select("cell_", F.col("id_").alias(p), F.col("set_").alias(f"{p}_set"), F.explode("set_").alias("t_"))
-    some = lambda df, p: rarest(df).select("cell_", F.col("id_").alias(p), F.col("set_").alias(f"{p}_set"), "t_")
-    smaller = some(a, "l").join(every(b, "r"), ["cell_", "t_"]).where(F.size("l_set") <= F.size("r_set"))
-    larger = every(a, "l").join(some(b, "r"), ["cell_", "t_"]).where(F.size("l_set") > F.size("r_set"))
+    # only ids and sizes travel with the tokens; sets are fetched for the pairs that met
+    every = lambda df, p: df.select("cell_", F.col("id_").alias(p), F.size("set_").alias(f"{p}_n"), F.explode("set_").alias("t_"))
+    some = lambda df, p: rarest(df).select("cell_", F.col("id_").alias(p), F.size("set_").alias(f"{p}_n"), "t_")
+    smaller = some(a, "l").join(every(b, "r"), ["cell_", "t_"]).where("l_n <= r_n")
+    larger = every(a, "l").join(some(b, "r"), ["cell_", "t_"]).where("l_n > r_n")
+    pairs = smaller.select("cell_", "l", "r").unionByName(larger.select("cell_", "l", "r")).distinct()
+    sets = lambda df, p: df.select("cell_", F.col("id_").alias(p), F.col("set_").alias(f"{p}_set"))
+    pairs = pairs.join(broadcast_if_small(sets(b, "r")), ["cell_", "r"]).join(broadcast_if_small(sets(a, "l")), ["cell_", "l"])
     score = F.round(F.size(F.array_intersect("l_set", "r_set")) / F.least(F.size("l_set"), F.size("r_set")), 6)
-    found = smaller.unionByName(larger).select("l", "r", score.alias("score")).where(F.col("score") >= least)
+    found = pairs.select("l", "r", score.alias("score")).where(F.col("score") >= least)
     return found.groupBy("l").agg(F.max("score").alias("score"), F.min_by("r", F.struct((-F.col("score")).alias("s"), F.col("r").alias("i"))).alias("r")).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "score")
