@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.functions.urls import host, suffixes
-from quillspark.session import broadcast_if_small, cut
+from quillspark.session import broadcast_if_small, cut, ship
 
 
 def merge_by_precedence(frames: Sequence[tuple[str, DataFrame]], key: str, columns: Sequence[str]) -> DataFrame:
@@ -90,32 +95,85 @@ def prefix_pairs(a: DataFrame, b: DataFrame, by: str, left: str, right: str) ->
     return longer.unionByName(shorter).drop("by_", "p_")
 
 
+#: How many left rows and how many tokens of right sets one task compares at a time; a cell with more is dealt over several.
+PART, BLOCK = 8192, 1 << 16
+#: A token that more than one in so many sets of a block hold is counted by a product of matrices, a rarer one by its places.
+_RARE = 64
+#: Numbers in one matrix.
+_MOST = 1 << 22
+
+
 def best_overlap(left: DataFrame, right: DataFrame, on: Sequence[str], tokens: str, left_id: str, right_id: str, least: float) -> DataFrame:
     """For each ``left_id`` the ``right_id`` whose token set has most in common with its own, in share of the smaller set, at
     least ``least`` (D06, D21): ``left_id, right_id, score``; of equals the lower id. Both sides have ``on`` (compared null-safe
-    as text), ``tokens`` (distinct) and an id; empty sets match nothing.
-
-    Exact, without pairs of all rows in a cell: of the smaller set so many tokens must be shared that one of its first
-    |set| - ceil(least * |set|) + 1, rarest first, is. Only these are looked up in the other side's tokens."""
-    side = lambda df, i: df.select(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in on]).alias("cell_"), F.col(i).alias("id_"), F.col(tokens).alias("set_")).where(F.size("set_") > 0)
-    a, b = cut(side(left, left_id), "left"), cut(side(right, right_id), "right")
-    held = a.select(F.explode("set_").alias("t_")).unionByName(b.select(F.explode("set_").alias("t_"))).groupBy("t_").agg(F.count(F.lit(1)).alias("n_"))
-    held = broadcast_if_small(cut(held, "tokens"))
-
-    def rarest(df: DataFrame) -> DataFrame:
-        t = df.select("cell_", "id_", "set_", F.explode("set_").alias("t_")).join(held, "t_")
-        t = t.groupBy("cell_", "id_", "set_").agg(F.array_sort(F.collect_list(F.struct("n_", "t_"))).alias("o_"))
-        first = F.size("set_") - F.ceil(F.size("set_") * F.lit(least) - 1e-9).cast("int") + 1
-        return t.select("cell_", "id_", "set_", F.explode(F.slice("o_", F.lit(1), first)).alias("x_")).select("cell_", "id_", "set_", F.col("x_.t_").alias("t_"))
-
-    # only ids and sizes travel with the tokens; sets are fetched for the pairs that met
-    every = lambda df, p: df.select("cell_", F.col("id_").alias(p), F.size("set_").alias(f"{p}_n"), F.explode("set_").alias("t_"))
-    some = lambda df, p: rarest(df).select("cell_", F.col("id_").alias(p), F.size("set_").alias(f"{p}_n"), "t_")
-    smaller = some(a, "l").join(every(b, "r"), ["cell_", "t_"]).where("l_n <= r_n")
-    larger = every(a, "l").join(some(b, "r"), ["cell_", "t_"]).where("l_n > r_n")
-    pairs = smaller.select("cell_", "l", "r").unionByName(larger.select("cell_", "l", "r")).distinct()
-    sets = lambda df, p: df.select("cell_", F.col("id_").alias(p), F.col("set_").alias(f"{p}_set"))
-    pairs = pairs.join(broadcast_if_small(sets(b, "r")), ["cell_", "r"]).join(broadcast_if_small(sets(a, "l")), ["cell_", "l"])
-    score = F.round(F.size(F.array_intersect("l_set", "r_set")) / F.least(F.size("l_set"), F.size("r_set")), 6)
-    found = pairs.select("l", "r", score.alias("score")).where(F.col("score") >= least)
+    as text), ``tokens`` (distinct) and an id (on the right a number or text); null and empty sets match nothing.
+
+    Exact, and no row per pair or per token leaves a task: equal sets on the right count once, a cell's left rows are dealt
+    over parts and its right sets over blocks, and each part meets each block in a task that counts shared tokens. Each left
+    row travels once per block, so once where a cell's right sets have at most ``BLOCK`` tokens. Only a row per cell is broadcast."""
+    ship(left.sparkSession)
+    side = lambda df, i: df.select(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in on]).alias("cell_"), F.col(i).alias("id_"), F.col(tokens).alias("set_"))
+    a, b = side(left, left_id), side(right, right_id).where(F.size("set_") > 0)
+    b = cut(b.groupBy("cell_", F.array_sort("set_").alias("set_")).agg(F.min("id_").alias("id_")), "right")
+    parts = a.groupBy("cell_").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts_"))
+    blocks = b.groupBy("cell_").agg(F.ceil(F.sum(F.size("set_")) / BLOCK).alias("blocks_"))
+    cells = broadcast_if_small(cut(parts.join(blocks, "cell_"), "cells"))
+
+    key = ["cell_", "part_", "block_"]
+    deal = lambda df, own, n, other, m: df.join(cells, "cell_").withColumn(own, F.pmod(F.xxhash64("id_"), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(m) - 1))).select(*key, "id_", "set_").groupBy(*key)
+    schema = StructType([StructField("l", a.schema["id_"].dataType), StructField("r", b.schema["id_"].dataType), StructField("score", DoubleType())])
+    found = deal(a, "part_", "parts_", "block_", "blocks_").cogroup(deal(b, "block_", "blocks_", "part_", "parts_")).applyInArrow(_best_of_block(least, to_arrow_schema(schema)), schema)
     return found.groupBy("l").agg(F.max("score").alias("score"), F.min_by("r", F.struct((-F.col("score")).alias("s"), F.col("r").alias("i"))).alias("r")).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "score")
+
+
+def _best_of_block(least: float, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best right row of each left row, for a part and a block with ``id_`` and ``set_``."""
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        right = right.take(pc.sort_indices(right["id_"]))  # so of equals the first is the lower id
+        a, b = left["set_"].combine_chunks(), right["set_"].combine_chunks()
+        size_a, size_b = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+        row_a, row_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
+        coded = b.flatten().dictionary_encode(null_encoding="encode")
+        token_b = coded.indices.to_numpy(zero_copy_only=False)
+        token_a = pc.fill_null(pc.index_in(a.flatten(), value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+        row_a, token_a = row_a[token_a >= 0], token_a[token_a >= 0]
+        held = np.bincount(token_b, minlength=len(coded.dictionary))
+        common = held * _RARE > len(b)
+        column = np.cumsum(common) - 1
+        holders, first = row_b[np.argsort(token_b, kind="stable")], np.cumsum(held) - held
+
+        def matrix(rows, tokens, n):
+            m = np.zeros((n, int(common.sum())), np.float32)
+            m[rows, column[tokens]] = 1
+            return m
+
+        dense_b = matrix(row_b[common[token_b]], token_b[common[token_b]], len(b)).T
+        out = []
+        step = max(1, _MOST // (len(b) + len(dense_b)))
+        for at in range(0, len(a), step):
+            n_a = size_a[at : at + step]
+            lo, hi = np.searchsorted(row_a, (at, at + step))
+            rows, tokens = row_a[lo:hi] - at, token_a[lo:hi]
+            dense = common[tokens]
+            shared = matrix(rows[dense], tokens[dense], len(n_a)) @ dense_b
+            rows, tokens = rows[~dense], tokens[~dense]
+            n = held[tokens]
+            places = np.repeat(first[tokens] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            np.add.at(shared, (np.repeat(rows, n), holders[places]), 1)
+            # near enough in single precision, then exactly, rounded half up as SQL does
+            smaller = np.minimum(n_a[:, None], size_b[None, :]).astype(np.float32)
+            i, j = np.nonzero(shared >= np.maximum(np.float32(least - 1e-5) * smaller - np.float32(1e-3), np.float32(0.5)))
+            p, q = shared[i, j].astype(np.int64), np.minimum(n_a[i], size_b[j])
+            score = (2_000_000 * p + q) // (2 * q) / 1e6
+            i, j, score = i[score >= least], j[score >= least], score[score >= least]
+            order = np.lexsort((j, -score, i))
+            i, j, score = i[order], j[order], score[order]
+            top = np.flatnonzero(np.diff(i, prepend=-1))
+            out.append((i[top] + at, j[top], score[top]))
+        i, j, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.Table.from_arrays([left["id_"].take(pa.array(i)), right["id_"].take(pa.array(j)), pa.array(score)], names=schema.names)
+
+    return best

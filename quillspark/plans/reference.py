@@ -350,12 +350,11 @@ def g01(s, d):
 @query("d06_best_match", f"""WITH r AS (SELECT DISTINCT indicator_id, law_name, list_distinct({_terms_sql('law_name')}) AS a FROM records_la WHERE law_name IS NOT NULL), b AS (SELECT baseline_id, indicator_id, list_distinct({_terms_sql('law_name')}) AS b FROM baseline_la WHERE law_name IS NOT NULL), p AS (SELECT r.indicator_id, r.law_name, baseline_id, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) AS score FROM r JOIN b ON r.indicator_id IS NOT DISTINCT FROM b.indicator_id WHERE len(a) > 1 AND len(b) > 1)
 SELECT x.record_id, p.baseline_id, p.score FROM records_la x JOIN (SELECT * FROM p WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY indicator_id, law_name ORDER BY score DESC, baseline_id) = 1) p ON x.indicator_id IS NOT DISTINCT FROM p.indicator_id AND x.law_name = p.law_name""")
 def d06(s, d):
-    name = F.concat_ws("|", F.coalesce("indicator_id", F.lit("\x00")), F.col("law_name")).alias("name")
-    words = F.array_distinct(retrieval.terms(F.col("law_name"))).alias("t")
-    r = records(s, d).where("law_name IS NOT NULL").select("record_id", name, "indicator_id", "law_name")
-    names = r.select("name", "indicator_id", "law_name").distinct().select("name", "indicator_id", words).where(F.size("t") > 1)
-    b = table(s, d, "baseline_la").where("law_name IS NOT NULL").select("baseline_id", "indicator_id", words).where(F.size("t") > 1)
-    return r.join(joins.best_overlap(names, b, ["indicator_id"], "t", "name", "baseline_id", 0.85), "name").select("record_id", "baseline_id", "score")
+    terms = F.array_distinct(retrieval.terms(F.col("law_name")))
+    words = F.get(F.filter(F.array(terms), lambda t: F.size(t) > 1), 0).alias("t")  # null for one word or none, with the terms found once
+    r = records(s, d).select(F.struct("record_id", F.monotonically_increasing_id().alias("row")).alias("of"), "indicator_id", words)
+    b = table(s, d, "baseline_la").select("baseline_id", "indicator_id", words)
+    return joins.best_overlap(r, b, ["indicator_id"], "t", "of", "baseline_id", 0.85).select("of.record_id", "baseline_id", "score")
 
 
 @query("g02_nearest", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)

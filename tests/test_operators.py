@@ -246,6 +246,33 @@ def test_best_overlap_against_all_pairs(spark):
     assert got == want and len(want) > 30
 
 
+def test_best_overlap_over_parts_and_blocks(spark, monkeypatch):
+    """Of a hot cell nothing that grows with its rows or tokens is broadcast; parts and blocks change nothing."""
+    r = random.Random(5)
+    some = lambda i: None if i % 50 == 0 else sorted({r.choice("abcdefghijkl") for _ in range(r.randint(0, 8))} | ({f"only{i // 2}"} if i % 3 else set()))
+    left = [(f"l{i}", None if i % 9 == 0 else "hot", some(i)) for i in range(300)]
+    right = [(i, None if i % 7 == 0 else "hot", some(i)) for i in range(200)]
+    left.append(("half", "half", [f"t{i}" for i in range(128)]))
+    right.append((999, "half", [f"t{i}" for i in range(109)] + [f"u{i}" for i in range(91)]))  # 109/128 = 0.8515625 exactly
+    want = {}
+    for i, c, a in left:
+        scored = [(-(int(1e6 * len(set(a) & set(b)) / min(len(a), len(b)) + 0.5) / 1e6), j) for j, d, b in right if c == d and a and b]
+        if scored and -min(scored)[0] >= 0.7:
+            want[i] = (min(scored)[1], -min(scored)[0])
+    assert want["half"] == (999, 0.851563) and len(want) > 200
+
+    small, sent = joins.broadcast_if_small, []
+    monkeypatch.setattr(joins, "broadcast_if_small", lambda df, *a: (sent.append(df.count()), small(df, *a))[1])
+    l, b = spark.createDataFrame(left, "i string, c string, t array<string>"), spark.createDataFrame(right, "j int, c string, t array<string>")  # noqa: E741
+    got = lambda: {x.i: (x.j, x.score) for x in joins.best_overlap(l, b, ["c"], "t", "i", "j", 0.7).collect()}
+    assert got() == want
+    assert max(sent) <= 3  # one row per cell
+    for name, n in (("PART", 40), ("BLOCK", 100), ("_MOST", 500)):
+        monkeypatch.setattr(joins, name, n)
+    assert got() == want
+    assert joins.best_overlap(l, b.limit(0), ["c"], "t", "i", "j", 0.7).count() == joins.best_overlap(l.limit(0), b, ["c"], "t", "i", "j", 0.7).count() == 0
+
+
 def test_column_headed_and_enclosing(spark):
     df = spark.createDataFrame([("a", "b", "c")], ["Note on law", "x", " notes "])
     assert checks.column_headed(df, "note") == "Note on law" and checks.column_headed(df, "note", 1) == " notes " and checks.column_headed(df, "law") is None

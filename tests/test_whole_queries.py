@@ -28,3 +28,12 @@ def test_prefix_amendments_of_every_economy(spark, tmp_path):
     df.selectExpr("*", "timestamp '2026-03-01 00:00:00' AS delivered_at").write.parquet(f"{tmp_path}/law_census.parquet")
     got = sorted((r.economy, r.portal_id, r.dated, r.amending, r.amended) for r in catalog.QUERIES["o07_prefix_amendments"](spark, str(tmp_path)).collect())
     assert got == [("AU", "D", 1950, "Timber Parcel Export Amendment Act 1980", 1980), ("MY", "B", 1990, "Wine Amendment (Fees) Act 2005", 2005)]
+
+
+def test_best_match_of_odd_names(spark, tmp_path):
+    names = [(1, "6.1", "Decree on Fees"), (1, "6.1", "Decree on Banks"), (2, "6.1", "Decree on Fees"), (3, None, "Decree on Fees"), (4, "6.2", "Decree on Fees"), (5, "6.1", None), (6, "6.1", ""), (7, "6.1", "Decrees"), (8, "6.1", "ກົດໝາຍ"), (None, "6.1", "fee decree")]
+    known = [(20, "6.1", "Decree on Fees of Banks"), (10, "6.1", "Fees of Banks (Decree)"), (30, None, "the decree on fees"), (40, "6.1", "Decree"), (50, "6.1", None), (60, "6.1", "ກົດໝາຍ 1")]
+    spark.createDataFrame(names, "record_id long, indicator_id string, law_name string").write.parquet(f"{tmp_path}/records_la.parquet")
+    spark.createDataFrame(known, "baseline_id long, indicator_id string, law_name string").write.parquet(f"{tmp_path}/baseline_la.parquet")
+    got = Counter(tuple(r) for r in catalog.QUERIES["d06_best_match"](spark, str(tmp_path)).select("record_id", "baseline_id", "score").collect())
+    assert got == Counter({(1, 10, 1.0): 2, (2, 10, 1.0): 1, (3, 30, 1.0): 1, (8, 60, 1.0): 1, (None, 10, 1.0): 1})
